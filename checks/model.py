@@ -6,7 +6,7 @@ Every table exists twice: as a DataFrame built here and as SQL text in
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +39,21 @@ def _money(name: str) -> Column:
     return F.col(name).cast("decimal(18,2)")
 
 
+@lru_cache(maxsize=8)
+def model(spark: SparkSession, sf_dir: str) -> "Model":
+    """One model per session and folder, so that plans are built only once.
+
+    Nothing is cached but plans: every query reads its tables again.
+    """
+    return Model(spark, sf_dir)
+
+
 class Model:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
 
+    @lru_cache(maxsize=None)
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
 
@@ -85,23 +95,26 @@ class Model:
     @cached_property
     def supply_raw(self) -> DataFrame:
         quantity = F.col("l_quantity").cast("int")
-        rows = self.lines.groupBy("l_partkey", "p_name", "p_brand", "n_name", "o_date").agg(
+        lineitem, part, orders = self.read("lineitem"), self.read("part"), self.orders_region
+        lines = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
+        rows = lines.groupBy("l_partkey", "n_name", "o_date").agg(
             F.sum(_money("l_extendedprice")).cast("decimal(10,2)").alias("area"),
             F.sum(quantity).cast("int").alias("total_units"),
             F.sum(F.when(F.col("l_linestatus") == "O", quantity).otherwise(0))
             .cast("int").alias("for_sale"),
             F.sum(F.when(F.col("l_returnflag") == "R", quantity).otherwise(0))
             .cast("int").alias("non_sale"),
-            F.max("p_retailprice").cast("decimal(10,2)").alias("res_price"),
         )
-        return rows.select(
+        price = F.col("p_retailprice").cast("decimal(10,2)")
+        return rows.join(part, rows.l_partkey == part.p_partkey).select(
             _text("l_partkey").alias("permit"),
             F.col("p_name").alias("record_name"),
             F.col("n_name").alias("region"),
             F.col("o_date").alias("open_date"),
-            "area", "total_units", "for_sale", "non_sale", "res_price",
+            "area", "total_units", "for_sale", "non_sale",
+            price.alias("res_price"),
             F.when(F.col("p_brand") == "Brand#2", F.lit(0).cast("decimal(10,2)"))
-            .otherwise(F.col("res_price")).alias("com_price"),
+            .otherwise(price).alias("com_price"),
         )
 
     @cached_property
@@ -147,29 +160,57 @@ class Model:
 
     # --- outputs of the pipeline --------------------------------------------
     @cached_property
-    def etl(self) -> dict[str, DataFrame]:
-        return etl.build(self.inputs, RULES)
+    def deal_list(self) -> DataFrame:
+        return etl.deal_list(self.inputs, RULES)
+
+    @cached_property
+    def supply_last(self) -> DataFrame:
+        return etl.latest_supply(self.supply_raw, RULES)
+
+    @cached_property
+    def history_supply(self) -> DataFrame:
+        return etl.history_supply(self.supply_last, self.project_info, self.promo, RULES)
+
+    @cached_property
+    def sold(self) -> DataFrame:
+        return etl.sales_by_band(etl.banded_sales(self.sale_daily, self.promo, RULES))
+
+    @cached_property
+    def supplied(self) -> DataFrame:
+        return etl.supply_by_band(self.supply_last, RULES)
+
+    @cached_property
+    def region_ratio(self) -> DataFrame:
+        return etl.region_ratio(self.sold, self.supplied)
+
+    @cached_property
+    def region_band_ratio(self) -> DataFrame:
+        return etl.region_band_ratio(self.sold, self.supplied)
+
+    @cached_property
+    def region_band_stock(self) -> DataFrame:
+        return etl.region_band_stock(self.sold, self.supplied)
 
     # --- views --------------------------------------------------------------
     @cached_property
     def deals(self) -> DataFrame:
-        return views.deal_view(self.etl["deal_list"])
+        return views.deal_view(self.deal_list)
 
     @cached_property
     def supply(self) -> DataFrame:
-        return views.supply_view(self.etl["history_supply"])
+        return views.supply_view(self.history_supply)
 
     @cached_property
     def stock(self) -> DataFrame:
-        return views.stock_view(self.etl["region_band_stock"])
+        return views.stock_view(self.region_band_stock)
 
     @cached_property
     def band_ratio(self) -> DataFrame:
-        return views.band_ratio_view(self.etl["region_band_ratio"])
+        return views.band_ratio_view(self.region_band_ratio)
 
     @cached_property
     def ratio(self) -> DataFrame:
-        return views.region_ratio_view(self.etl["region_ratio"])
+        return views.region_ratio_view(self.region_ratio)
 
     @cached_property
     def projects(self) -> DataFrame:

@@ -81,7 +81,7 @@ SUPPLY = "permit record_name region:s open_date:date area:d total_units for_sale
 
 @check("dedup_keep_last", SUPPLY, "SELECT * FROM supply_last")
 def _(m: Model):
-    return etl.latest_supply(m.supply_raw, RULES)
+    return m.supply_last
 
 
 @check("room_mean_price", "permit record_name category:s mean_price:d4", "SELECT * FROM mean_price")
@@ -112,14 +112,14 @@ INFO = " delivery manager:s land_area:d volume far green presale:s"
     ON s.permit IS NOT DISTINCT FROM i.permit
         AND s.record_name IS NOT DISTINCT FROM i.record_name""")
 def _(m: Model):
-    return etl.with_project_info(etl.latest_supply(m.supply_raw, RULES), m.project_info, RULES)
+    return etl.with_project_info(m.supply_last, m.project_info, RULES)
 
 
 @check("deal_list",
        "region permit record_name:s units:i area:d date:date res_price:d promo_name category band:s",
        "SELECT * FROM deal_list")
 def _(m: Model):
-    return m.etl["deal_list"]
+    return m.deal_list
 
 
 _HISTORY = {"StringType": "s", "DateType": "date", "IntegerType": "i", "DecimalType": "d"}
@@ -129,26 +129,26 @@ _HISTORY = {"StringType": "s", "DateType": "date", "IntegerType": "i", "DecimalT
        " ".join(f"{f.name}:{_HISTORY[type(f.dataType).__name__]}" for f in HISTORY_SUPPLY),
        "SELECT * FROM history_supply")
 def _(m: Model):
-    return m.etl["history_supply"]
+    return m.history_supply
 
 
 @check("region_ratio", "date:date region:s units total_units for_sale non_sale:l",
        "SELECT * FROM region_ratio")
 def _(m: Model):
-    return m.etl["region_ratio"]
+    return m.region_ratio
 
 
 @check("region_band_ratio", "date:date region band:s units total_units for_sale non_sale:l",
        "SELECT * FROM region_band_ratio")
 def _(m: Model):
-    return m.etl["region_band_ratio"]
+    return m.region_band_ratio
 
 
 @check("region_band_stock",
        "date:date region band:s units:l area_x:d for_sale:l area_y:d total_units non_sale:l area:d",
        "SELECT * FROM region_band_stock")
 def _(m: Model):
-    return m.etl["region_band_stock"]
+    return m.region_band_stock
 
 
 # --- views ------------------------------------------------------------------

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.model import Model
+from checks.model import Model, model
 from checks.tables_sql import even, with_tables
 from estatelens.functions import round_even
 
@@ -56,7 +56,7 @@ def check(name: str, spec: str, sql: str):
 
     def add(build: Callable[[Model], DataFrame]):
         assert name not in QUERIES, name
-        QUERIES[name] = lambda spark, sf_dir: _spark_columns(build(Model(spark, sf_dir)), spec)
+        QUERIES[name] = lambda spark, sf_dir: _spark_columns(build(model(spark, sf_dir)), spec)
         ORACLES[name] = _sql_columns(sql, spec)
         return build
 

@@ -10,13 +10,19 @@ from pyspark.sql import types as T
 
 from estatelens.functions.numeric import column
 
-# fixed values: the date notations that are understood
-DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d", "yyyyMMdd")
+# fixed values: the date notations that are understood, slashes read as dashes
+DASHED = r"^\d{4}-\d{1,2}-\d{1,2}$"
+COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
 
 
 def parse_date(x: Column | str) -> Column:
-    """Text to date; text in no known notation becomes NULL."""
-    return F.coalesce(*(F.try_to_date(column(x), f) for f in DATE_FORMATS))
+    """Text such as 2019-3-1, 2019/03/01 or 20190301 to a date.
+
+    Anything else becomes NULL. The cast does the work; unlike a list of date
+    patterns it costs no exception for each text that does not fit.
+    """
+    dashed = F.regexp_replace(slash_to_dash(x), COMPACT, "$1-$2-$3")
+    return F.when(dashed.rlike(DASHED), dashed.try_cast("date"))
 
 
 def as_date(df: DataFrame, name: str) -> Column:

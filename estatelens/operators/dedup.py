@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,15 +14,16 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     Missing keys form a key of their own. ``order`` should be unique inside a
     key, or the choice between equal rows is open.
 
-    This is an aggregate and no window on purpose: each task first reduces its
-    own rows to one per key, so a key that holds a third of the table is never
-    gathered, or sorted, in one place.
+    Spark limits each task's own rows to one per key before the shuffle (it
+    turns the filter on the row number into a window group limit), so a key
+    that holds a third of the table is never gathered in one place, and
+    columns nobody reads later are pruned.
     """
-    rest = [c for c in df.columns if c not in keys]
-    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("__last")
-    return df.groupBy(*keys).agg(last).select(
-        *(F.col(c) if c in keys else F.col(f"__last.`{c}`").alias(c) for c in df.columns)
+    newest_first = Window.partitionBy(*keys).orderBy(
+        *(F.col(c).desc_nulls_last() for c in order)
     )
+    numbered = df.withColumn("__position", F.row_number().over(newest_first))
+    return numbered.where(F.col("__position") == 1).drop("__position")
 
 
 def latest_row(df: DataFrame, order: str, *ties: str) -> DataFrame:

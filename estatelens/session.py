@@ -16,7 +16,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.parquet.filterPushdown": "true",
+    # Parquet is compressed: judge the size of a side by its decoded size
+    # before it is considered for a broadcast.
+    "spark.sql.sources.fileCompressionFactor": "4.0",
 }
 
 
@@ -41,6 +43,8 @@ def local_session(name: str, cpus: int | None = None) -> SparkSession:
         "spark.sql.shuffle.partitions": str(cpus),
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
+        # call sites in error messages cost two round trips per expression
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
     for key, value in settings.items():
