@@ -16,7 +16,7 @@ def sorted_values(
     """Distinct values in order, optionally without the smallest one."""
     values = distinct_values(df.where(F.col(name).isNotNull()), name)
     if drop_smallest:
-        smallest = df.select(F.min(name)).scalar()
+        smallest = values.select(F.min(name)).scalar()
         values = values.where(F.col(name) > smallest)
     order = F.col(name).desc() if newest_first else F.col(name).asc()
     return values.orderBy(order)

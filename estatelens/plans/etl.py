@@ -138,13 +138,16 @@ def with_project_info(
 
     The info is reduced to one row per key first, which gives the same rows as
     joining all of them and keeping the last. Grouping and joining on one
-    struct key lets the join use the partitioning of the grouping, and makes
-    missing keys equal to each other.
+    struct key makes missing keys equal to each other, lets the join use the
+    partitioning of the grouping, and tells Spark that the info is unique, so
+    that it drops the join for readers who want no info column.
     """
     key = F.struct(*PERMIT).alias("__permit")
-    info = project_info.select(key, *INFO_COLUMNS)
-    info = keep_last(info, ["__permit"], rules.info_order)
-    return supply.select("*", key).join(info, "__permit", "left").drop("__permit")
+    last = F.max_by(F.struct(*INFO_COLUMNS), F.struct(*rules.info_order)).alias("__info")
+    info = project_info.groupBy(key).agg(last)
+    return supply.select("*", key).join(info, "__permit", "left").select(
+        *(supply[c] for c in supply.columns), "__info.*"
+    )
 
 
 def history_supply(
@@ -238,13 +241,14 @@ def run(
     and both roll-ups are checkpointed. All three are reductions of the input.
     """
     checkpoint_ready(spark, f"{root}/_checkpoints")
-    by_year = {"year": F.year("date")}
-    deals = write_table(deal_list(inputs, rules), root, "deal_list", by_year)
+    deals = write_table(
+        deal_list(inputs, rules), root, "deal_list", {"year": F.year("date")}, ["date"]
+    )
 
     supply = latest_supply(inputs.supply_raw, rules).checkpoint()
     history = write_table(
         history_supply(supply, inputs.project_info, inputs.promo, rules),
-        root, "history_supply", {"year": F.year("open_date")},
+        root, "history_supply", {"year": F.year("open_date")}, ["open_date"],
     )
 
     sold = sales_by_band(deals).checkpoint()

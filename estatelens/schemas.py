@@ -302,3 +302,58 @@ HEADINGS: dict[str, dict[str, str]] = {
         "open_date": "开盘日期", "units": "套数", "area": "面积(㎡)",
     },
 }
+
+# --- fixed values: headings and units of the one-row reports ----------------
+FIGURES: dict[str, dict[str, tuple[str, str]]] = {
+    "land_query_kpis": {
+        "listed_count": ("挂牌宗数", "宗"), "listed_area": ("挂牌面积", "万㎡"),
+        "listed_floor_price": ("挂牌楼面价", "元/㎡"), "dealt_count": ("出让宗数", "宗"),
+        "dealt_area": ("出让面积", "万㎡"), "dealt_floor_price": ("出让楼面价", "元/㎡"),
+    },
+    "land_supply_month_kpis": {
+        "count": ("土地挂牌宗数", "宗"), "area": ("土地挂牌面积", "万㎡"),
+        "change_pct": ("土地挂牌量环比", "%"),
+    },
+    "land_deal_month_kpis": {
+        "count": ("土地出让宗数", "宗"), "area": ("土地出让面积", "万㎡"),
+        "change_pct": ("土地出让量环比", "%"),
+    },
+    "room_kpis": {
+        "supplied": ("房源供应量", "套"), "sold": ("成交套数", "套"),
+        "sold_area": ("成交面积", "万㎡"),
+    },
+    "deal_kpis": {
+        "units": ("成交套数", "套"), "area": ("成交面积", "万㎡"),
+        "price": ("成交均价", "万元/㎡"),
+    },
+    "supply_kpis": {
+        "supply": ("房源总供应量", "套"), "for_sale": ("在售套数", "套"),
+        "on_sale_area": ("在售面积", "万㎡"),
+    },
+    "supply_sale_kpis": {
+        "supply": ("房源总供应量", "套"), "for_sale": ("房源在售总量", "套"),
+        "on_sale_area": ("房源在售总面积", "万/㎡"), "sold_units": ("房源成交总量", "套"),
+        "sold_area": ("房源成交总面积", "万/㎡"),
+    },
+    "stock_kpis": {"stock": ("库存量", "套"), "stock_area": ("库存面积", "万㎡")},
+    "money_latest": {"m1": ("上月M1数据", "万亿元"), "m2": ("上月M2数据", "万亿元")},
+    "lending_latest": {"rate_pct": ("最新贷款基准利率", "%")},
+    "reserve_latest": {
+        "large_pct": ("存款准备金率 : 大型金融机构", "%"),
+        "small_medium_pct": ("存款准备金率 : 中小金融机构", "%"),
+    },
+    "income_latest": {
+        "urban": ("最新温州城镇人均可支配收入", "万元"),
+        "rural": ("最新温州农村人均可支配收入", "万元"),
+    },
+    "cpi_latest": {
+        "national": ("最新全国居民消费价格指数(CPI)", ""),
+        "city": ("最新温州市居民消费价格指数", ""),
+    },
+    "city_population_kpis": {
+        "population": ("温州市人口总量", "万人"), "urban_pct": ("温州市城镇人口比重", "%"),
+    },
+    "gdp_kpis": {
+        "gdp": ("2017年温州市GDP总量", "亿元"), "gdp_per_head": ("2017年温州市人均GDP", "元"),
+    },
+}

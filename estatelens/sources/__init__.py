@@ -10,10 +10,16 @@ from estatelens.sources.readers import (
     read_parquet,
     register_views,
 )
-from estatelens.sources.sinks import checkpoint_ready, typed, with_headings, write_table
+from estatelens.sources.sinks import (
+    checkpoint_ready,
+    typed,
+    with_headings,
+    with_units,
+    write_table,
+)
 
 __all__ = [
     "Partitioning", "checkpoint_ready", "conform", "drop_non_finite",
     "jdbc_options", "normalise_names", "read_jdbc", "read_parquet",
-    "register_views", "typed", "with_headings", "write_table",
+    "register_views", "typed", "with_headings", "with_units", "write_table",
 ]

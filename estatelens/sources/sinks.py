@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from estatelens.functions import round_even
-from estatelens.schemas import HEADINGS, SCHEMAS
+from estatelens.functions import round_even, with_unit
+from estatelens.schemas import FIGURES, HEADINGS, SCHEMAS
 
 
 def _to(df: DataFrame, field: T.StructField) -> Column:
@@ -36,21 +36,23 @@ def write_table(
     root: str,
     table: str,
     partition_by: Mapping[str, Column] | None = None,
+    sort_by: Sequence[str] = (),
 ) -> DataFrame:
     """Replace ``<root>/<table>`` and return it as read back.
 
     ``partition_by`` adds derived directory columns, such as the year of the
-    date, so that later date filters skip whole directories. Rows are
-    rebalanced by them first: files come out evenly sized, and a directory
-    with most of the rows is written by many tasks.
+    date. Rows are rebalanced by them first: files come out evenly sized, and
+    a directory with most of the rows is written by many tasks. ``sort_by``
+    sorts inside each file, so that filters on those columns skip row groups.
     """
     out = typed(df, table)
     path = f"{root}/{table}"
-    if partition_by:
-        out = out.withColumns(dict(partition_by)).hint("rebalance", *partition_by)
-        out.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    else:
-        out.write.mode("overwrite").parquet(path)
+    folders = list(partition_by or {})
+    if folders:
+        out = out.withColumns(dict(partition_by)).hint("rebalance", *folders)
+    if folders or sort_by:
+        out = out.sortWithinPartitions(*folders, *sort_by)
+    out.write.mode("overwrite").partitionBy(*folders).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -60,6 +62,14 @@ def with_headings(df: DataFrame, report: str) -> DataFrame:
     return df.select(*(F.col(c).alias(h) for c, h in headings.items()))
 
 
+def with_units(df: DataFrame, report: str) -> DataFrame:
+    """The figures of a one-row report as headed texts with their units."""
+    return df.select(*(
+        with_unit(name, unit).alias(heading)
+        for name, (heading, unit) in FIGURES[report].items()
+    ))
+
+
 def checkpoint_ready(spark: SparkSession, fallback: str) -> None:
     """Make sure checkpoints go to storage that all executors share.
 
@@ -68,5 +78,5 @@ def checkpoint_ready(spark: SparkSession, fallback: str) -> None:
     output tables.
     """
     context = spark.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context.getCheckpointDir():
-        context.setCheckpointDir(fallback)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or fallback)

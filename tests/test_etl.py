@@ -251,3 +251,9 @@ def test_project_info_is_joined_on_the_grouped_key(spark, data, conf):
     _, inputs = data
     joined = etl.with_project_info(inputs.supply_raw, inputs.project_info)
     assert planned(joined).count("Exchange hashpartitioning") == 2
+
+
+def test_project_info_that_nobody_reads_is_not_joined(data):
+    _, inputs = data
+    joined = etl.with_project_info(inputs.supply_raw, inputs.project_info)
+    assert "Join" not in planned(joined.select("permit", "total_units"))

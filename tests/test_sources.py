@@ -1,4 +1,5 @@
 from datetime import date
+from functools import partial
 from decimal import Decimal
 
 import pytest
@@ -7,9 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from estatelens import schemas
-from estatelens.plans import views
+from estatelens.plans import catalog, deals, views
 from estatelens.sources import (
     Partitioning,
+    checkpoint_ready,
     conform,
     drop_non_finite,
     jdbc_options,
@@ -18,6 +20,7 @@ from estatelens.sources import (
     register_views,
     typed,
     with_headings,
+    with_units,
     write_table,
 )
 
@@ -111,6 +114,34 @@ def test_headings(table):
     ]
 
 
+def test_units(table):
+    got = with_units(table("stock long, stock_area double", (1200, 3.5)), "stock_kpis")
+    assert got.columns == ["库存量", "库存面积"] and rows(got) == [("1200套", "3.5万㎡")]
+
+
+def test_checkpoints_go_where_the_session_says():
+    class Context:
+        folder = None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        def __init__(self, **settings):
+            self.sparkContext, self.conf = Context(), settings
+
+    named, unset, ready = Session(**{"spark.checkpoint.dir": "shared"}), Session(), Session()
+    ready.sparkContext.folder = "already"
+    for session in (named, unset, ready):
+        checkpoint_ready(session, "fallback")
+    assert [s.sparkContext.folder for s in (named, unset, ready)] == [
+        "shared", "fallback", "already"
+    ]
+
+
 def test_register_views(spark, table):
     register_views({"m2_table": table("v int", (1,))}, prefix="test_")
     assert rows(spark.sql("SELECT v FROM test_m2_table")) == [(1,)]
@@ -121,3 +152,28 @@ def test_ratio_view_drops_garbage_dates(table):
                ("0000/00/00", 1.0), ("2019/02/01", 2.0), (None, 3.0))
     got = views.land_ratio_view(df).select("date", "month", "supply_deal_ratio")
     assert rows(got) == [("2019-02-01", "2019-02", 2.0)]
+
+
+def test_all_views_open_over_stored_tables_and_answer_sql(spark, tmp_path):
+    for name, schema in schemas.SCHEMAS.items():
+        if name in {t for t, _ in catalog.VIEWS.values()}:
+            spark.createDataFrame([], schema).write.parquet(str(tmp_path / name))
+    opened = catalog.register(partial(read_parquet, spark, str(tmp_path)))
+    assert len(opened) == 29
+    for name in opened:
+        assert spark.sql(f"SELECT * FROM {name}").collect() == []
+        spark.catalog.dropTempView(name)
+
+
+def test_date_filter_on_stored_deals_reaches_the_scan(spark, tmp_path, capsys):
+    spark.createDataFrame([], schemas.DEAL_LIST).write.parquet(str(tmp_path / "deal_list"))
+    read = partial(read_parquet, spark, str(tmp_path))
+    frame = catalog.open_views(read, ["deals"])["deals"]
+    deals.deal_kpis(
+        frame, regions=["鹿城区"], category="住宅", period=(date(2019, 1, 1), date(2019, 2, 1))
+    ).explain("formatted")
+    plan = capsys.readouterr().out
+    for pushed in ("GreaterThanOrEqual(date,2019-01-01)", "LessThanOrEqual(date,2019-02-01)",
+                   "EqualTo(region,鹿城区)", "EqualTo(category,住宅)"):
+        assert pushed in plan
+    assert "ReadSchema: struct<region:string,units:int,area:decimal(10,2),date:date,res_price:" in plan
