@@ -131,8 +131,8 @@ class Model:
             _text("l_partkey").alias("permit"),
             F.concat("p_name", F.lit(NAME_SUFFIX)).alias("record_name"),
             F.col("p_type").alias("remark"),
-            F.nullif("l_quantity", F.lit(1.0)).alias("area"),
-            F.col("l_extendedprice").alias("total_price"),
+            F.nullif("l_quantity", F.lit(1.0)).cast("decimal(18,4)").alias("area"),
+            F.col("l_extendedprice").cast("decimal(18,4)").alias("total_price"),
         )
 
     @cached_property

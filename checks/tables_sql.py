@@ -73,7 +73,8 @@ TABLES: dict[str, str] = {
         FROM part""",
     "room_price": """
         SELECT CAST(l_partkey AS VARCHAR) AS permit, p_name || '（详细信息）' AS record_name,
-            p_type AS remark, nullif(l_quantity, 1) AS area, l_extendedprice AS total_price
+            p_type AS remark, CAST(nullif(l_quantity, 1) AS DECIMAL(18,4)) AS area,
+            CAST(l_extendedprice AS DECIMAL(18,4)) AS total_price
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "project_info": """
         SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS permit, p_name AS record_name,
@@ -92,12 +93,14 @@ TABLES: dict[str, str] = {
             WHEN remark IN ('LARGE', 'PROMO') THEN '商业' ELSE '住宅' END AS category
         FROM room_price""",
     "mean_price": """
-        SELECT permit, record_name, category, sum(total_price) / sum(area) AS mean_price
+        SELECT permit, record_name, category, 
+            CAST(sum(total_price) AS DOUBLE) / CAST(sum(area) AS DOUBLE) AS mean_price
         FROM rooms_categorised WHERE area IS NOT NULL AND total_price IS NOT NULL
         GROUP BY permit, record_name, category""",
     "deal_list": f"""
         SELECT s.region, s.permit, replace(s.record_name, '（详细信息）', '') AS record_name,
-            s.units, s.area, s.date, {even('p.mean_price', 2)} AS res_price, n.promo_name,
+            s.units, s.area, s.date,
+            CAST({even('p.mean_price', 2)} AS DECIMAL(10,2)) AS res_price, n.promo_name,
             s.category, {band('s.area', 's.units')} AS band
         FROM sales_categorised s
         LEFT JOIN mean_price p ON s.permit = p.permit AND s.record_name = p.record_name

@@ -37,8 +37,13 @@ def count_rows(where: Column | None = None) -> Column:
 
 
 def mean(x: Column | str, where: Column | None = None) -> Column:
-    """Average of the present values, NULL when there are none."""
-    return F.avg(_only(column(x).cast("double"), where))
+    """Average of the present values, NULL when there are none.
+
+    The sum keeps the type of x, so that the average of decimals does not
+    depend on the order of the rows.
+    """
+    x = _only(column(x), where)
+    return ratio(F.sum(x), F.count(x))
 
 
 def ratio_of_sums(

@@ -26,6 +26,7 @@ from estatelens.constants import (
 )
 from estatelens.functions import area_band, ratio, round_even, strip_text, sum0
 from estatelens.operators import category, keep_last, lookup, outer_on_keys, rollup_present_keys
+from estatelens.schemas import DEAL_LIST
 from estatelens.sources import checkpoint_ready, write_table
 
 PERMIT = ("permit", "record_name")
@@ -119,7 +120,7 @@ def deal_list(inputs: Inputs, rules: Rules = Rules()) -> DataFrame:
         "units",
         "area",
         "date",
-        round_even("mean_price", 2).alias("res_price"),
+        round_even("mean_price", 2).cast(DEAL_LIST["res_price"].dataType).alias("res_price"),
         "promo_name",
         "category",
         "band",

@@ -12,6 +12,8 @@ _TYPES = {
     "date": T.DateType(),
     "area": T.DecimalType(10, 2),
     "land": T.DecimalType(15, 3),
+    # summed over many rows: exact, whatever the order of the rows
+    "exact": T.DecimalType(18, 4),
 }
 
 
@@ -33,7 +35,7 @@ SUPPLY_RAW = _schema(
     "total_units for_sale non_sale:int, res_price com_price:area"
 )
 PROMO = _schema("permit promo_name:string")
-ROOM_PRICE = _schema("permit record_name remark:string, area total_price:double")
+ROOM_PRICE = _schema("permit record_name remark:string, area total_price:exact")
 PROJECT_INFO = _schema(
     "permit record_name delivery manager:string, land_area:land, "
     "volume far green presale:string"

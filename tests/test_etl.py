@@ -56,7 +56,8 @@ def make_rows():
     promo = [("p1", "春"), ("p1", "夏"), ("hot", "秋"), (None, "冬"), ("other", "空")]
     price = [
         (permit(), name(), rng.choice(["住宅", "车位", "商铺", None]),
-         rng.choice([None, 100.0, 80.0, 0.0]), rng.choice([None, 1e6, 9.5e5]))
+         rng.choice([None, Decimal(100), Decimal(80), Decimal(0)]),
+         rng.choice([None, Decimal(1_000_000), Decimal(950_000)]))
         for _ in range(200)
     ]
     info = [
@@ -109,8 +110,8 @@ def expected_deals(sale, promo, price):
     room = {"住宅": RESIDENTIAL, "商铺": COMMERCIAL, "车位": OTHER, None: RESIDENTIAL}
     for permit, name, remark, area, total in price:
         if None not in (permit, name, area, total):
-            sums[permit, name, room[remark]][0] += area
-            sums[permit, name, room[remark]][1] += total
+            sums[permit, name, room[remark]][0] += float(area)
+            sums[permit, name, room[remark]][1] += float(total)
     kinds = {"住宅": RESIDENTIAL, "商铺": COMMERCIAL, "车位": OTHER, None: OTHER}
     out = []
     for region, permit, name, raw, units, area, day in sale:
@@ -118,7 +119,7 @@ def expected_deals(sale, promo, price):
         if size is None:
             continue
         total = sums.get((permit, name, kinds[raw]))
-        mean = round(total[1] / total[0], 2) if total and total[0] else None
+        mean = Decimal(f"{total[1] / total[0]:.2f}") if total and total[0] else None
         for promo_name in [n for p, n in promo if p == permit] or [None]:
             out.append((region, permit, name.replace(NAME_SUFFIX, ""), units, area, day, mean,
                         promo_name, kinds[raw], size))
