@@ -207,7 +207,7 @@ TABLES: dict[str, str] = {
             strftime(deal_time, '%Y-%m') AS month, strftime(list_start, '%Y-%m') AS list_month,
             {even(ratio('start_price * 10000', 'max_far * site_area'))} AS list_floor_price,
             {even(ratio('deal_price * 10000', 'max_far * site_area'))} AS deal_floor_price,
-            {number('site_area')} || '㎡(' || {number(even('site_area / (2000 / CAST(3 AS DOUBLE))', 1))}
+            {number('site_area')} || '㎡(' || {number(even('CAST(site_area AS DOUBLE) / 2000 * 3', 1))}
                 || '亩)' AS site_area_label,
             district = '03 NATION_3' AS is_proper,
             land_use IN ('1-URGENT', '3-MEDIUM') AS is_residential,

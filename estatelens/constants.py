@@ -78,4 +78,4 @@ HOME_AREA_BOUNDS = (0, 50_000)
 
 # --- fixed values: units ----------------------------------------------------
 TEN_THOUSAND = 10_000
-SQUARE_METRES_PER_MU = 2000 / 3
+SQUARE_METRES_PER_THREE_MU = 2000

@@ -13,7 +13,7 @@ from estatelens.constants import (
     LOCATION_PATCHES,
     PUBLIC_USES,
     RESIDENTIAL_USES,
-    SQUARE_METRES_PER_MU,
+    SQUARE_METRES_PER_THREE_MU,
     TEN_THOUSAND,
 )
 from estatelens.functions import (
@@ -116,7 +116,7 @@ def land_view(
     site area becomes zero.
     """
     floor_area = F.col("max_far") * F.col("site_area")
-    mu = round_even(F.col("site_area") / SQUARE_METRES_PER_MU, 1)
+    mu = round_even(F.col("site_area") / SQUARE_METRES_PER_THREE_MU * 3, 1)
     location = F.col("location")
     for key, place in location_patches.items():
         location = F.when(F.col("detail_url") == key, F.lit(place)).otherwise(location)

@@ -12,14 +12,17 @@ from estatelens.sources.readers import (
 )
 from estatelens.sources.sinks import (
     checkpoint_ready,
+    jdbc_write_options,
     typed,
     with_headings,
     with_units,
+    write_jdbc,
     write_table,
 )
 
 __all__ = [
     "Partitioning", "checkpoint_ready", "conform", "drop_non_finite",
-    "jdbc_options", "normalise_names", "read_jdbc", "read_parquet",
-    "register_views", "typed", "with_headings", "with_units", "write_table",
+    "jdbc_options", "jdbc_write_options", "normalise_names", "read_jdbc", "read_parquet",
+    "register_views", "typed", "with_headings", "with_units",
+    "write_jdbc", "write_table",
 ]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from estatelens.functions import round_even, with_unit
-from estatelens.schemas import FIGURES, HEADINGS, SCHEMAS
+from estatelens.schemas import FIGURES, HEADINGS, SCHEMAS, SOURCE_TABLES
 
 
 def _to(df: DataFrame, field: T.StructField) -> Column:
@@ -56,6 +56,37 @@ def write_table(
     return df.sparkSession.read.parquet(path)
 
 
+# column types of database tables
+DATABASE_TYPES = {T.StringType(): "VARCHAR(255)", T.IntegerType(): "INTEGER", T.DateType(): "DATE"}
+
+
+def jdbc_write_options(
+    url: str, table: str, connections: int, properties: Mapping[str, str]
+) -> dict[str, str]:
+    source, renames = SOURCE_TABLES[table]
+    names = {canonical: name for name, canonical in renames.items()}
+    types = ", ".join(
+        f"`{names.get(f.name, f.name)}` "
+        + DATABASE_TYPES.get(f.dataType, f.dataType.simpleString().upper())
+        for f in SCHEMAS[table]
+    )
+    return {
+        "url": url, "dbtable": source, "numPartitions": str(connections), "batchsize": "10000",
+        "createTableColumnTypes": types, **properties,
+    }
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, connections: int, **properties: str) -> None:
+    """Replace a database table, under its source names and column types.
+
+    All executors write, over at most ``connections`` connections.
+    """
+    names = {canonical: name for name, canonical in SOURCE_TABLES[table][1].items()}
+    options = jdbc_write_options(url, table, connections, properties)
+    out = typed(df, table).withColumnsRenamed(names)
+    out.write.format("jdbc").options(**options).mode("overwrite").save()
+
+
 def with_headings(df: DataFrame, report: str) -> DataFrame:
     """The columns of a table report under their display headings."""
     headings = HEADINGS[report]

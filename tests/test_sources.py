@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from estatelens import schemas
-from estatelens.plans import catalog, deals, views
+from estatelens.plans import catalog, deals, pickers, views
 from estatelens.sources import (
     Partitioning,
     checkpoint_ready,
     conform,
     drop_non_finite,
     jdbc_options,
+    jdbc_write_options,
     normalise_names,
     read_parquet,
     register_views,
@@ -81,6 +82,18 @@ def test_jdbc_options():
     assert "numPartitions" not in jdbc_options("jdbc:x", "t", None, {})
 
 
+def test_jdbc_write_options(spark):
+    options = jdbc_write_options("jdbc:mysql://host/db", "region_band_stock", 8, {"user": "u"})
+    assert options["dbtable"] == "各区域库存_python" and options["numPartitions"] == "8"
+    assert options["createTableColumnTypes"] == (
+        "`日期` DATE, `所在地区` VARCHAR(255), `面积段` VARCHAR(255), `套数` INTEGER, "
+        "`建筑面积_x` DECIMAL(10,2), `待售房源` INTEGER, `建筑面积_y` DECIMAL(10,2), "
+        "`房源总量` INTEGER, `非销售房产` INTEGER, `项目测算面积` DECIMAL(10,2)"
+    )
+    types = jdbc_write_options("x", "deal_list", 1, {})["createTableColumnTypes"]
+    assert len(T.StructType.fromDDL(types)) == len(schemas.DEAL_LIST)  # Spark can read it
+
+
 def test_typed_rounds_counts_and_orders_columns(table):
     df = table("units double, region string, date date, total_units double, for_sale double, "
                "non_sale double", (2.9999999, "r", date(2019, 1, 1), 1.0, None, 0.0))
@@ -160,6 +173,8 @@ def test_all_views_open_over_stored_tables_and_answer_sql(spark, tmp_path):
             spark.createDataFrame([], schema).write.parquet(str(tmp_path / name))
     opened = catalog.register(partial(read_parquet, spark, str(tmp_path)))
     assert len(opened) == 29
+    for name, picker in pickers.PICKERS.items():
+        assert pickers.options(opened, name).columns == [picker.column]
     for name in opened:
         assert spark.sql(f"SELECT * FROM {name}").collect() == []
         spark.catalog.dropTempView(name)
@@ -177,3 +192,13 @@ def test_date_filter_on_stored_deals_reaches_the_scan(spark, tmp_path, capsys):
                    "EqualTo(region,鹿城区)", "EqualTo(category,住宅)"):
         assert pushed in plan
     assert "ReadSchema: struct<region:string,units:int,area:decimal(10,2),date:date,res_price:" in plan
+
+
+def test_pickers(table):
+    view = table("month string, district string, x int",
+                 ("", "a", 1), ("2019-02", None, 1), ("2019-01", "a", 1))
+    opened = {"land": view}
+    assert [r[0] for r in pickers.options(opened, "land_deal_month").collect()] == [
+        "2019-01", "2019-02"
+    ]
+    assert {r[0] for r in pickers.options(opened, "land_district").collect()} == {"a", None}
