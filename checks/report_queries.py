@@ -257,8 +257,7 @@ def _(m: Model):
 
 
 # --- rooms ------------------------------------------------------------------
-BUILDINGS = [str(i) for i in range(60)]
-ROOMS_SQL = "building IN (" + ", ".join(f"'{b}'" for b in BUILDINGS) + ") AND area BETWEEN 0 AND 45"
+ROOMS_SQL = "area BETWEEN 0 AND 45"
 
 
 @check("room_kpis", "supplied sold:l sold_area:d", f"""
@@ -266,7 +265,7 @@ ROOMS_SQL = "building IN (" + ", ".join(f"'{b}'" for b in BUILDINGS) + ") AND ar
         {even("coalesce(sum(area) FILTER (status IN ('A', 'R')), 0) / 10000", 2)} AS sold_area
     FROM rooms WHERE {ROOMS_SQL}""")
 def _(m: Model):
-    return rooms.room_kpis(m.rooms, sold_statuses=SOLD, buildings=BUILDINGS, max_area="45")
+    return rooms.room_kpis(m.rooms, sold_statuses=SOLD, max_area="45")
 
 
 @check("room_table",
@@ -274,9 +273,7 @@ def _(m: Model):
        "unit_price total_price:d4",
        f"SELECT * FROM rooms WHERE {ROOMS_SQL} AND status IN ('A', '暂无数据')")
 def _(m: Model):
-    return rooms.room_table(
-        m.rooms, buildings=BUILDINGS, max_area="45", statuses=["A", "暂无数据"]
-    )
+    return rooms.room_table(m.rooms, max_area="45", statuses=["A", "暂无数据"])
 
 
 # --- deals of new homes -----------------------------------------------------

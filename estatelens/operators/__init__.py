@@ -4,7 +4,7 @@ from estatelens.operators.categories import category, with_category
 from estatelens.operators.changes import change_by_calendar, change_from_previous, with_share
 from estatelens.operators.dedup import keep_last, latest_row
 from estatelens.operators.domains import distinct_values, newest_value, sorted_values
-from estatelens.operators.joins import lookup, outer_on_keys, side_by_side
+from estatelens.operators.joins import lookup, outer_on_keys, plain_keys, side_by_side
 from estatelens.operators.ordering import ascending, descending, newest_then_ascending
 from estatelens.operators.rollups import pivot_series, rollup_present_keys
 
@@ -12,6 +12,6 @@ __all__ = [
     "ascending", "category", "change_by_calendar", "change_from_previous",
     "descending", "distinct_values", "keep_last", "latest_row", "lookup",
     "newest_then_ascending", "newest_value", "outer_on_keys", "pivot_series",
-    "rollup_present_keys", "side_by_side", "sorted_values", "with_category",
+    "plain_keys", "rollup_present_keys", "side_by_side", "sorted_values", "with_category",
     "with_share",
 ]

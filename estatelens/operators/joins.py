@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,19 @@ def lookup(left: DataFrame, right: DataFrame, on: Mapping[str, str]) -> DataFram
     return left.join(right, reduce(lambda a, b: a & b, match), "left").drop(*keys.values())
 
 
+def plain_keys(*names: str) -> dict[str, Column]:
+    """Text key columns as columns without NULL, equal where the keys are.
+
+    Grouping and joining by them treats missing keys as equal to each other
+    with ordinary equality, so a join can use the partitioning of a grouping.
+    """
+    keys = {}
+    for name in names:
+        keys[f"__{name}"] = F.coalesce(name, F.lit(""))
+        keys[f"__{name}_missing"] = F.col(name).isNull()
+    return keys
+
+
 def outer_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Full outer join of two roll-ups; the key columns are coalesced."""
     return left.join(right, list(keys), "full")

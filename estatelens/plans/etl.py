@@ -25,7 +25,14 @@ from estatelens.constants import (
     SALE_CATEGORY,
 )
 from estatelens.functions import area_band, ratio, round_even, strip_text, sum0
-from estatelens.operators import category, keep_last, lookup, outer_on_keys, rollup_present_keys
+from estatelens.operators import (
+    category,
+    keep_last,
+    lookup,
+    outer_on_keys,
+    plain_keys,
+    rollup_present_keys,
+)
 from estatelens.schemas import DEAL_LIST
 from estatelens.sources import checkpoint_ready, write_table
 
@@ -138,15 +145,14 @@ def with_project_info(
     """Supply rows, unique per permit and name, with the last info row.
 
     The info is reduced to one row per key first, which gives the same rows as
-    joining all of them and keeping the last. Grouping and joining on one
-    struct key makes missing keys equal to each other, lets the join use the
-    partitioning of the grouping, and tells Spark that the info is unique, so
-    that it drops the join for readers who want no info column.
+    joining all of them and keeping the last. Joining on the grouped key lets
+    the join use the partitioning of the grouping, and tells Spark that the
+    info is unique, so that it drops the join for readers who want no info.
     """
-    key = F.struct(*PERMIT).alias("__permit")
+    keys = plain_keys(*PERMIT)
     last = F.max_by(F.struct(*INFO_COLUMNS), F.struct(*rules.info_order)).alias("__info")
-    info = project_info.groupBy(key).agg(last)
-    return supply.select("*", key).join(info, "__permit", "left").select(
+    info = project_info.groupBy(*(k.alias(name) for name, k in keys.items())).agg(last)
+    return supply.withColumns(keys).join(info, list(keys), "left").select(
         *(supply[c] for c in supply.columns), "__info.*"
     )
 
