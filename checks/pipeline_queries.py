@@ -327,10 +327,13 @@ def _(m: Model):
     return rows.groupBy("region").agg(stock.stock_units().alias("stock"))
 
 
+STOCK = "coalesce(sum(total_units - non_sale), 0) - coalesce(sum(units), 0)"
+
+
 @check("stock_area_asof", "stock:l stock_area:d", f"""
-    SELECT sum(total_units - non_sale) - sum(units) AS stock,
-        {even(ratio('sum(area_y)', 'sum(total_units)')
-              + ' * (sum(total_units - non_sale) - sum(units)) / 10000', 1)} AS stock_area
+    SELECT {STOCK} AS stock, {even(
+        f"{ratio('coalesce(sum(area_y), 0)', 'coalesce(sum(total_units), 0)')} * ({STOCK}) / 10000", 1
+    )} AS stock_area
     FROM region_band_stock WHERE date <= DATE '2001-07-15'""")
 def _(m: Model):
     regions = [f"{i:02d} NATION_{i}" for i in range(25)]
