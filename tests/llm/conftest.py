@@ -1,0 +1,23 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
+
+SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+
+
+@pytest.fixture
+def docs(spark):
+    """Documents (doc_id, text), with further columns of clashing names."""
+
+    def make(rows):
+        schema = "doc_id bigint, text string, key bigint, n bigint, body string, fp string, kind string"
+        return spark.createDataFrame([(i, t, None, 1, "x", None, "y") for i, t in rows], schema)
+
+    return make
+
+
+def words(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
