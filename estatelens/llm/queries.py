@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelens.llm import bpe, packing, simhash, suffix_dedup, token_counts
+from estatelens.llm import bpe, licenses, packing, quality, secrets, simhash, suffix_dedup, token_counts
+from estatelens.llm import oracles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +33,16 @@ def byte_ranks() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+@query("op1_license_scans", oracles.LICENSES)
+def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+@query("op2_quality_rules", oracles.QUALITY)
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(documents(spark, sf_dir))
+
+
 @query("op3_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
@@ -58,6 +69,13 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_secret_scans", oracles.SECRETS)
+def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.report(documents(spark, sf_dir))
+    counts = ("n_assign", "n_access", "n_hex")
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 @query("op9_token_counts")
 def token_counts_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.attribute(documents(spark, sf_dir), *byte_ranks())
