@@ -8,8 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelens.llm import bpe, licenses, packing, quality, secrets, simhash, suffix_dedup, token_counts
-from estatelens.llm import oracles
+from estatelens.llm import bpe, licenses, neighbours, oracles, packing, quality, secrets, simhash, suffix_dedup, token_counts, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,6 +75,24 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+URL_RULES = [
+    urls.Rule("net", "/", "block"), urls.Rule("example.net", "/en/", "allow"),
+    urls.Rule("example.com", "/de/", "block"), urls.Rule("org", "/fr/", "allow"),
+]
+
+
+@query("op8_url_filters")
+def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urls.classify(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op9_token_counts")
 def token_counts_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.attribute(documents(spark, sf_dir), *byte_ranks())
+
+
+@query("op10_nearest_neighbours")
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"))
