@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -267,6 +268,53 @@ def spans_of(pos: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, n
     return begin[new], end[np.concatenate((new[1:], [True]))]
 
 
+def _whole_characters(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans without the characters that they cover in part."""
+    lead = np.append((text & 0xC0) != 0x80, True)
+    first = np.flatnonzero(lead)
+    begin = first[np.searchsorted(first, begin)]
+    return begin, np.maximum(begin, first[np.searchsorted(first, end, "right") - 1])
+
+
+def cut_repeats(docs: DataFrame, length: int = 400, q: int = 128, large: int = 1024) -> DataFrame:
+    """The rows of ``docs`` with repeated passages cut out of their texts; n_chars follows if there is one.
+
+    As remove_repeats, but only whole characters go. A text of which nothing is
+    left stays as an empty one.
+    """
+    found = repeated(docs, length, q, large).groupBy("doc_id", "body").agg(
+        F.collect_list(F.struct("pos", "n")).alias("_windows")
+    ).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "_windows")
+    own = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_own"),
+        "text", F.struct(*docs.columns).alias("_row"),
+    )
+    joined = own.join(found, own.doc_id.eqNullSafe(found._id) & (own._own == found._body), "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows = batch.column("_windows")
+            has, place = windows.is_valid().to_numpy(False), windows.offsets.to_numpy()
+            pos, n = (x.to_numpy() for x in windows.values.flatten())
+            data, at = texts_of(batch.column("text"))
+            texts = batch.column("text").to_pylist()
+            for i in np.flatnonzero(has):
+                text, part = data[at[i] : at[i + 1]], slice(place[i], place[i + 1])
+                stay = np.ones(len(text), bool)
+                for a, b in zip(*_whole_characters(text, *spans_of(pos[part], n[part], length))):
+                    stay[a:b] = False
+                texts[i] = text[stay].tobytes().decode()
+            row = batch.column("_row")
+            out = dict(zip((f.name for f in row.type), row.flatten()))
+            out["text"] = pa.array(texts, out["text"].type)
+            if "n_chars" in out:
+                counted = pc.utf8_length(out["text"]).cast(out["n_chars"].type)
+                out["n_chars"] = pc.if_else(pa.array(has), pc.if_else(pc.is_valid(out["n_chars"]), counted, None), out["n_chars"])
+            yield pa.record_batch(out)
+
+    return joined.select("text", "_windows", "_row").mapInArrow(run, docs.schema)
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, q: int = 128, large: int = 1024) -> DataFrame:
     """Every row of ``docs`` with the bytes that stay.
 
