@@ -129,20 +129,20 @@ class WordEncoder:
     Keeps at most ``most`` words.
     """
 
-    def __init__(self, replay: Replay, pattern: str, most: int = 1_000_000):
+    def __init__(self, replay: Replay, pattern: str, most: int = 800_000):
         self.replay, self.most = replay, most
         self.words_of = regex.compile(pattern).findall
-        self.ids: dict[str, np.ndarray | list[int]] = {}
+        self.ids: dict[str, bytes] = {}
 
-    def __call__(self, units: list[bytes]) -> list[list[int]]:
+    def __call__(self, units: list[bytes]) -> list[bytes]:
         split = [self.words_of(u.decode()) for u in units]
         wanted = {w for words in split for w in words}
         if len(self.ids) + len(wanted) > self.most:
             self.ids = {}
         new = [w for w in wanted if w not in self.ids]
-        self.ids.update(zip(new, map(np.ndarray.tolist, self.replay.encode([w.encode() for w in new]))))
+        self.ids.update(zip(new, map(np.ndarray.tobytes, self.replay.encode([w.encode() for w in new]))))
         ids = self.ids
-        return [ids[words[0]] if len(words) == 1 else [x for w in words for x in ids[w]] for words in split]
+        return [ids[words[0]] if len(words) == 1 else b"".join([ids[w] for w in words]) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -163,7 +163,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         _, units = encoder(path, pattern)
         for batch in small_batches(batches, "text", 16 << 20):
             ids, at = units.texts(*texts_of(batch.column("text")))
-            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view(np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "ids": lists})
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, ids array<int>")

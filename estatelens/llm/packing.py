@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,14 +40,14 @@ class NormalisedWords:
     from the library. Keeps at most ``most`` words.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path).model
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.most = most
         self.words_of = regex.compile(_WORDS).findall
-        self.ids: dict[str, list[int]] = {}
+        self.ids: dict[str, bytes] = {}
 
     def _words(self, unit: bytes) -> list[str]:
         plain = unit.strip().lower()
@@ -55,19 +56,19 @@ class NormalisedWords:
         text = unicodedata.normalize("NFC", unit.decode())
         return self.words_of("".join(map(str.lower, text)))
 
-    def _ids(self, word: str) -> list[int]:
+    def _ids(self, word: str) -> bytes:
         if not (word.isascii() and word.isprintable()):
             word = self.bytes.pre_tokenize_str(word)[0][0]
-        return [token.id for token in self.model.tokenize(word)]
+        return array("i", [token.id for token in self.model.tokenize(word)]).tobytes()
 
-    def __call__(self, units: list[bytes]) -> list[list[int]]:
+    def __call__(self, units: list[bytes]) -> list[bytes]:
         split = list(map(self._words, units))
         wanted = {w for words in split for w in words}
         if len(self.ids) + len(wanted) > self.most:
             self.ids = {}
         ids = self.ids
         ids.update((w, self._ids(w)) for w in wanted if w not in ids)
-        return [ids[words[0]] if len(words) == 1 else [x for w in words for x in ids[w]] for words in split]
+        return [ids[words[0]] if len(words) == 1 else b"".join([ids[w] for w in words]) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -85,7 +86,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) ->
             ids, at = units.texts(*texts_of(batch.column("text")))
             row, start, length, crc = [], [], [], []
             for i in range(batch.num_rows):
-                own = np.append(ids[at[i] : at[i + 1]], np.uint32(end_id)).astype("<u4")
+                own = np.append(ids[at[i] : at[i + 1]], np.int32(end_id)).astype("<i4")
                 for first in range(0, len(own), capacity):
                     part = own[first : first + capacity]
                     row.append(i)

@@ -82,43 +82,50 @@ def attribute(
         raise ValueError(f"rule must be one of {', '.join(RULES)}")
     kind = pa.float64() if rule == "split" else pa.int64()
 
+    def counted(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        """Sections of a few texts; ``size``: the bytes of their tokens."""
+        data, at = data[at[0] : at[-1]], at - at[0]
+        # characters before each byte, counted from the first text
+        chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+        ends = np.cumsum(size)
+        first = chars[np.minimum(ends - size + 1, len(data))] - 1
+        last = chars[ends]
+        origin = chars[at]
+        if sections is None:
+            breaks = np.flatnonzero(data == 0x0A) + 1
+            # a break that ends a text starts its last, empty line
+            bounds = np.sort(np.concatenate((at[:-1], breaks)), kind="stable")
+            row = np.repeat(np.arange(batch.num_rows), 1 + _breaks_in(data, at))
+            start = chars[bounds]
+            end = np.where(np.append(row[1:] != row[:-1], True), origin[row + 1], np.append(start[1:], 0))
+        else:
+            column = batch.column("sections")
+            row = np.repeat(np.arange(batch.num_rows), column.value_lengths().fill_null(0).to_numpy())
+            a, b = (x.to_numpy() for x in column.flatten().flatten())
+            start, end = a + origin[row], b + origin[row]
+            if (start > end).any() or (start[1:] < end[:-1]).any():
+                raise ValueError("sections must be sorted, within their text, and must not overlap")
+        tokens, crossing = allocate(first, last, start, end, rule)
+        opening = np.concatenate(([True], row[1:] != row[:-1])) if len(row) else np.empty(0, bool)
+        number = np.arange(len(row)) - np.flatnonzero(opening)[np.cumsum(opening) - 1]
+        return pa.record_batch({
+            "doc_id": batch.column("doc_id").take(pa.array(row)),
+            "section": pa.array(number, pa.int32()),
+            "start": start - origin[row], "end": end - origin[row],
+            "n_tokens": pa.array(tokens if rule == "split" else tokens.astype(np.int64), kind),
+            "n_crossing": crossing,
+        })
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay, units = encoder(path, pattern)
         size = np.fromiter(map(len, replay.tokens), np.int64, replay.end)
         for batch in small_batches(batches, "text", 8 << 20):
             data, at = texts_of(batch.column("text"))
-            ids, _ = units.texts(data, at)
-            data, at = data[at[0] : at[-1]], at - at[0]
-            # characters before each byte, counted from the first text of the block
-            chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-            ends = np.cumsum(size[ids])
-            first = chars[np.minimum(ends - size[ids] + 1, len(data))] - 1
-            last = chars[ends]
-            origin = chars[at]
-            if sections is None:
-                breaks = np.flatnonzero(data == 0x0A) + 1
-                bounds = np.sort(np.concatenate((at[:-1], breaks)), kind="stable")
-                # a break that ends a text starts the last, empty line of it
-                row = np.repeat(np.arange(batch.num_rows), 1 + _breaks_in(data, at))
-                start = chars[bounds]
-                end = np.where(np.append(row[1:] != row[:-1], True), origin[row + 1], np.append(start[1:], 0))
-            else:
-                column = batch.column("sections")
-                row = np.repeat(np.arange(batch.num_rows), column.value_lengths().fill_null(0).to_numpy())
-                a, b = (x.to_numpy() for x in column.flatten().flatten())
-                start, end = a + origin[row], b + origin[row]
-                if (start > end).any() or (start[1:] < end[:-1]).any():
-                    raise ValueError("sections must be sorted, within their text, and must not overlap")
-            tokens, crossing = allocate(first, last, start, end, rule)
-            opening = np.concatenate(([True], row[1:] != row[:-1])) if len(row) else np.empty(0, bool)
-            number = np.arange(len(row)) - np.flatnonzero(opening)[np.cumsum(opening) - 1]
-            yield pa.record_batch({
-                "doc_id": batch.column("doc_id").take(pa.array(row)),
-                "section": pa.array(number, pa.int32()),
-                "start": start - origin[row], "end": end - origin[row],
-                "n_tokens": pa.array(tokens if rule == "split" else tokens.astype(np.int64), kind),
-                "n_crossing": crossing,
-            })
+            ids, ids_at = units.texts(data, at)
+            for low in range(0, batch.num_rows, step := 64):
+                part = batch.slice(low, step)
+                rows = slice(low, low + part.num_rows + 1)
+                yield counted(part, data, at[rows], size[ids[ids_at[rows][0] : ids_at[rows][-1]]])
 
     columns = [F.col("doc_id").cast("bigint").alias("doc_id"), "text"]
     if sections is not None:

@@ -93,26 +93,22 @@ def unit_names(data: np.ndarray, starts: np.ndarray, fold: bool = False) -> np.n
 class UnitEncoder:
     """Ids of whole texts from ids of their distinct units.
 
-    ``encode`` gets units (bytes) and returns a list of ids for each. ``fold``
+    ``encode`` gets units (bytes) and returns the ids of each as bytes of int32. ``fold``
     is for vocabularies that ignore case and white space.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list], most: int = 1_500_000, fold: bool = False):
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 1_000_000, fold: bool = False):
         self.encode, self.most, self.fold = encode, most, fold
         self._forget()
 
     def _forget(self) -> None:
         self.known = np.empty(0, np.uint64)
         self.place = np.empty(0, np.int64)
-        self.ids, self.at = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.ids, self.at = np.empty(0, np.int32), np.zeros(1, np.int64)
 
     def _learn(self, names: np.ndarray, units: list[bytes]) -> None:
-        ids = self.encode(units)
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for u in ids for x in u), np.uint32, int(length.sum()))
         first = len(self.at) - 1
-        self.ids = np.concatenate((self.ids, flat))
-        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(length)))
+        self.ids, self.at = _appended(self.ids, self.at, self.encode(units))
         known = np.concatenate((self.known, names))
         place = np.concatenate((self.place, np.arange(first, first + len(names))))
         order = np.argsort(known, kind="stable")
@@ -144,9 +140,16 @@ class UnitEncoder:
         if len(long):
             own = self.encode([bytes(view[starts[i] : ends[i]]) for i in long])
             place[long] = len(at) - 1 + np.arange(len(long))
-            at = np.concatenate((at, at[-1] + np.cumsum([len(x) for x in own])))
-            ids = np.concatenate((ids, np.array([x for u in own for x in u], np.uint32)))
+            ids, at = _appended(ids, at, own)
         count = at[place + 1] - at[place] if len(place) else np.empty(0, np.int64)
         total = np.concatenate(([0], np.cumsum(count)))
         gather = np.repeat(at[place] - total[:-1], count) + np.arange(total[-1])
         return ids[gather], total[np.searchsorted(starts, offsets)]
+
+
+def _appended(ids: np.ndarray, at: np.ndarray, more: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    length = np.fromiter(map(len, more), np.int64, len(more)) // 4
+    return (
+        np.concatenate((ids, np.frombuffer(b"".join(more), np.int32))),
+        np.concatenate((at, at[-1] + np.cumsum(length))),
+    )
