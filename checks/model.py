@@ -82,7 +82,7 @@ class Model:
     # --- inputs of the pipeline ---------------------------------------------
     @cached_property
     def sale_daily(self) -> DataFrame:
-        return self.lines.where("l_linestatus = 'F'").select(
+        return self.lines.select(
             F.col("n_name").alias("region"),
             _text("l_partkey").alias("permit"),
             F.concat("p_name", F.lit(NAME_SUFFIX)).alias("record_name"),
@@ -291,13 +291,16 @@ class Model:
         )
 
     def land_table(self, name: str) -> DataFrame:
-        """View of one of the monthly or yearly land tables."""
+        """View of one of the monthly or yearly land tables.
+
+        Dates are stored as text there; but for the ratios, whose filter compares
+        texts, they carry slashes.
+        """
         table = getattr(land_months, name)(self.land)
-        if name.endswith("_year"):
-            return table
         if name == "land_ratio_month":
             return views.land_ratio_view(table, earliest="1997/00/01")
-        return views.land_month_view(table)
+        slashed = table.withColumn("date", F.translate(F.col("date").cast("string"), "-", "/"))
+        return views.land_year_view(slashed) if name.endswith("_year") else views.land_month_view(slashed)
 
     @cached_property
     def second_hand(self) -> DataFrame:

@@ -122,7 +122,7 @@ def _(m: Model):
     return m.deal_list
 
 
-_HISTORY = {"StringType": "s", "DateType": "date", "IntegerType": "i", "DecimalType": "d"}
+_HISTORY = {"StringType": "s", "DateType": "date", "IntegerType": "i", "LongType": "l", "DecimalType": "d"}
 
 
 @check("history_supply",
@@ -369,13 +369,14 @@ def _(m: Model):
     return first
 
 
-@check("pivot_series", "month:s R1 R2 R3:l", """
-    SELECT month, sum(units) FILTER (region = '01 NATION_1') AS R1,
-        sum(units) FILTER (region = '02 NATION_2') AS R2,
-        sum(units) FILTER (region = '03 NATION_3') AS R3
+PIVOTED = {f"{i:02d} NATION_{i}": f"R{i}" for i in range(25)}
+
+
+@check("pivot_series", f"month:s {' '.join(PIVOTED.values())}:l", f"""
+    SELECT month, {", ".join(f"sum(units) FILTER (region = '{r}') AS {n}" for r, n in PIVOTED.items())}
     FROM second_hand GROUP BY month""")
 def _(m: Model):
-    names = {f"0{i} NATION_{i}": f"R{i}" for i in (1, 2, 3)}
+    names = PIVOTED
     wide = pivot_series(m.second_hand, "month", "region", list(names), F.sum("units"))
     return wide.withColumnsRenamed(names)
 

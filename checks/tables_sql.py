@@ -57,7 +57,7 @@ TABLES: dict[str, str] = {
             p_name || '（详细信息）' AS record_name, p_type AS category_raw,
             CAST(l_quantity AS INTEGER) AS units,
             CAST(l_extendedprice AS DECIMAL(10,2)) AS area, CAST(l_shipdate AS DATE) AS date
-        FROM lines WHERE l_linestatus = 'F'""",
+        FROM lines""",
     "supply_raw": """
         SELECT CAST(l_partkey AS VARCHAR) AS permit, p_name AS record_name, n_name AS region,
             o_date AS open_date, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS area,

@@ -24,6 +24,7 @@ from estatelens.functions.predicates import (
     between,
     choice,
     floor_bound,
+    in_period,
     member,
     not_member,
     positive,
@@ -41,7 +42,7 @@ from estatelens.functions.text import (
 
 __all__ = [
     "area_band", "as_date", "between", "choice", "count_rows", "finite",
-    "first_of_month", "floor_bound", "last_days", "last_of_previous_month",
+    "first_of_month", "floor_bound", "in_period", "last_days", "last_of_previous_month",
     "mean", "member", "month_key", "not_member", "number_text", "or_missing",
     "parse_date", "percent_text", "positive", "price_label", "ratio",
     "ratio_of_sums", "round_even", "short_name", "slash_to_dash", "strip_text",

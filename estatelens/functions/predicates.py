@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.functions.numeric import column
@@ -16,6 +16,15 @@ def between(x: Column | str, span: tuple) -> Column:
     return column(x).between(F.lit(low), F.lit(high))
 
 
+def in_period(df: DataFrame, day: str, span: tuple) -> Column:
+    """As :func:`between` for a day of ``df``; also by ``year`` where the table is stored in folders of years."""
+    inside = between(day, span)
+    if "year" not in df.columns:
+        return inside
+    low, high = (int(str(x)[:4]) for x in span)
+    return inside & F.col("year").between(low, high)
+
+
 def member(x: Column | str, values: Iterable | object) -> Column:
     """x is one of ``values``; a single text counts as one value."""
     values = [values] if isinstance(values, str) or not isinstance(values, Iterable) else list(values)

@@ -27,7 +27,7 @@ def or_missing(x: Column | str) -> Column:
 def number_text(x: Column | str, digits: int = 4) -> Column:
     """A number as plain text, without trailing zeros or an exponent."""
     exact = column(x).cast(f"decimal(38,{digits})").cast("string")
-    return F.regexp_replace(exact, r"\.?0+$", "")
+    return F.regexp_replace(exact, r"\.?0+$", "") if digits else exact
 
 
 def with_unit(x: Column | str, unit: str) -> Column:

@@ -32,8 +32,8 @@ VIEWS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "land_floor_month": ("land_floor_month", views.land_month_view),
     "land_floor_pair_month": ("land_floor_pair_month", views.land_month_view),
     "land_residential_month": ("land_residential_month", views.land_month_view),
-    "land_floor_pair_year": ("land_floor_pair_year", _as_stored),
-    "land_residential_year": ("land_residential_year", _as_stored),
+    "land_floor_pair_year": ("land_floor_pair_year", views.land_year_view),
+    "land_residential_year": ("land_residential_year", views.land_year_view),
     "land_district_amount": ("land_district_amount", views.land_month_view),
     "land_district_mean": ("land_district_mean", views.land_month_view),
     "money": ("money", _as_stored),

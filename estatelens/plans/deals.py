@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from estatelens.constants import HOME_AREA_BOUNDS, MISSING, TEN_THOUSAND
 from estatelens.functions import (
-    between,
     floor_bound,
+    in_period,
     last_days,
     mean,
     member,
@@ -26,7 +26,7 @@ from estatelens.schemas import HEADINGS
 
 def _chosen(deals: DataFrame, regions, category, period, as_of) -> DataFrame:
     return deals.where(
-        between("date", period or last_days(30, as_of))
+        in_period(deals, "date", period or last_days(30, as_of))
         & member("region", regions)
         & member("category", category)
     )

@@ -34,7 +34,7 @@ from estatelens.operators import (
     rollup_present_keys,
 )
 from estatelens.schemas import DEAL_LIST
-from estatelens.sources import checkpoint_ready, write_table
+from estatelens.sources import WorkingTables, write_table
 
 PERMIT = ("permit", "record_name")
 INFO_COLUMNS = ("delivery", "manager", "land_area", "volume", "far", "green", "presale")
@@ -150,7 +150,7 @@ def with_project_info(
     info is unique, so that it drops the join for readers who want no info.
     """
     keys = plain_keys(*PERMIT)
-    last = F.max_by(F.struct(*INFO_COLUMNS), F.struct(*rules.info_order)).alias("__info")
+    last = F.max_by(F.struct(*INFO_COLUMNS), F.struct(*dict.fromkeys([*rules.info_order, *INFO_COLUMNS]))).alias("__info")
     info = project_info.groupBy(*(k.alias(name) for name, k in keys.items())).agg(last)
     return supply.withColumns(keys).join(info, list(keys), "left").select(
         *(supply[c] for c in supply.columns), "__info.*"
@@ -242,32 +242,32 @@ def run(
 ) -> dict[str, DataFrame]:
     """Compute and replace the five output tables under ``root``.
 
-    Every input is read once. Shared intermediate results go to shared storage
-    instead of executor memory, so losing executors costs no recomputation:
-    the deal list is rolled up from its own written table, and the supply side
-    and both roll-ups are checkpointed. All three are reductions of the input.
+    Every input is read once. Shared intermediate results are written to shared
+    storage, so losing executors costs no recomputation: the deal list is rolled
+    up from its own written table, and the supply side and both roll-ups are
+    working tables, which go at the end, also after a failure.
     """
-    checkpoint_ready(spark, f"{root}/_checkpoints")
-    deals = write_table(
-        deal_list(inputs, rules), root, "deal_list", {"year": F.year("date")}, ["date"]
-    )
-
-    supply = latest_supply(inputs.supply_raw, rules).checkpoint()
-    history = write_table(
-        history_supply(supply, inputs.project_info, inputs.promo, rules),
-        root, "history_supply", {"year": F.year("open_date")}, ["open_date"],
-    )
-
-    sold = sales_by_band(deals).checkpoint()
-    supplied = supply_by_band(supply, rules).checkpoint()
-    return {
-        "deal_list": deals,
-        "history_supply": history,
-        "region_ratio": write_table(region_ratio(sold, supplied), root, "region_ratio"),
-        "region_band_ratio": write_table(
-            region_band_ratio(sold, supplied), root, "region_band_ratio"
-        ),
-        "region_band_stock": write_table(
-            region_band_stock(sold, supplied), root, "region_band_stock"
-        ),
-    }
+    with WorkingTables(spark, f"{root}/_work") as work:
+        deals = write_table(
+            deal_list(inputs, rules), root, "deal_list", {"year": F.year("date")}, ["date"]
+        )
+
+        supply = work.keep(latest_supply(inputs.supply_raw, rules), "supply")
+        history = write_table(
+            history_supply(supply, inputs.project_info, inputs.promo, rules),
+            root, "history_supply", {"year": F.year("open_date")}, ["open_date"],
+        )
+
+        sold = work.keep(sales_by_band(deals), "sold")
+        supplied = work.keep(supply_by_band(supply, rules), "supplied")
+        return {
+            "deal_list": deals,
+            "history_supply": history,
+            "region_ratio": write_table(region_ratio(sold, supplied), root, "region_ratio"),
+            "region_band_ratio": write_table(
+                region_band_ratio(sold, supplied), root, "region_band_ratio"
+            ),
+            "region_band_stock": write_table(
+                region_band_stock(sold, supplied), root, "region_band_stock"
+            ),
+        }

@@ -17,7 +17,6 @@ from estatelens.operators import (
     descending,
     latest_row,
     newest_then_ascending,
-    with_share,
 )
 
 
@@ -90,7 +89,9 @@ def money_yoy(money: DataFrame, *, newest: int = 10, calendar: bool = False) ->
         rows = change_by_calendar(money, "m1", "riqi", change="m1_yoy")
         rows = change_by_calendar(rows, "m2", "riqi", change="m2_yoy")
     else:
-        rows = change_from_previous(money, "m1", "riqi", rows=12, change="m1_yoy")
+        # a window over all rows at once: only over those that the newest need
+        needed = money.orderBy(F.col("riqi").desc_nulls_last()).limit(newest + 12)
+        rows = change_from_previous(needed, "m1", "riqi", rows=12, change="m1_yoy")
         rows = change_from_previous(rows, "m2", "riqi", rows=12, change="m2_yoy")
     rows = rows.select(
         "riqi", month_key("riqi").alias("month"), "m1", "m2", "m1_yoy", "m2_yoy"
@@ -124,7 +125,8 @@ def latest_year(df: DataFrame, day: str = "date") -> DataFrame:
 def _by_region_latest(people: DataFrame, value: str, totals) -> DataFrame:
     rows = latest_year(people).where(not_member("region", totals))
     rows = rows.select(short_name("region").alias("short_region"), value)
-    return descending(with_share(rows, value), value, "short_region")
+    share = ratio(F.col(value), rows.select(F.sum(value)).scalar())
+    return descending(rows.withColumn("share", share), value, "short_region")
 
 
 def population_by_region(people: DataFrame, totals=TOTAL_REGIONS) -> DataFrame:

@@ -82,7 +82,7 @@ def ratio_by_region(stock: DataFrame, *, period=None, as_of=None) -> DataFrame:
 def stock_by_region(stock: DataFrame, year: int) -> DataFrame:
     """Stock per region at the end of ``year``."""
     return descending(
-        stock.where(F.col("year") <= year)
+        stock.where(F.col("date") <= F.lit(date(year, 12, 31)))
         .groupBy("short_region").agg(stock_units().alias("stock")),
         "stock", "short_region",
     )
@@ -90,5 +90,5 @@ def stock_by_region(stock: DataFrame, year: int) -> DataFrame:
 
 def stock_by_band(stock: DataFrame, year: int) -> DataFrame:
     """Stock per size band at the end of ``year``, with its share."""
-    bands = stock.where(F.col("year") <= year).groupBy("band").agg(stock_units().alias("stock"))
+    bands = stock.where(F.col("date") <= F.lit(date(year, 12, 31))).groupBy("band").agg(stock_units().alias("stock"))
     return descending(with_share(bands, "stock"), "stock", "band")

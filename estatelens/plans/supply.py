@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from estatelens.constants import HOME_AREA_BOUNDS, TEN_THOUSAND
 from estatelens.functions import (
-    between,
     choice,
     floor_bound,
+    in_period,
     last_days,
     member,
     positive,
@@ -34,7 +34,7 @@ def chosen_supply(
     as_of=None,
 ) -> DataFrame:
     return supply.where(
-        between("open_date", period or last_days(180, as_of))
+        in_period(supply, "open_date", period or last_days(180, as_of))
         & member("region", regions)
         & choice("promo_name", promo_names)
         & within("unit_area", min_area, max_area, HOME_AREA_BOUNDS)
@@ -81,13 +81,13 @@ def supply_sale_kpis(
     big_enough = floor_bound("unit_area", min_area, HOME_AREA_BOUNDS[0])
     on_sale = ratio("area", "total_units") * F.col("for_sale").cast("double")
     supplied = supply.where(
-        between("open_date", period) & member("region", regions) & big_enough
+        in_period(supply, "open_date", period) & member("region", regions) & big_enough
     ).agg(
         sum_strict(F.col("total_units") - F.col("non_sale"), inside).alias("supply"),
         sum_strict("for_sale", inside).alias("for_sale"),
         round_even(sum0(on_sale) / TEN_THOUSAND, 1).alias("on_sale_area"),
     )
-    sold = deals.where(between("date", period) & member("region", regions) & inside).agg(
+    sold = deals.where(in_period(deals, "date", period) & member("region", regions) & inside).agg(
         sum_strict("units").alias("sold_units"),
         round_even(sum0("area") / TEN_THOUSAND, 1).alias("sold_area"),
     )

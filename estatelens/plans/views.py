@@ -151,6 +151,11 @@ def land_month_view(report: DataFrame) -> DataFrame:
     return dated
 
 
+def land_year_view(report: DataFrame) -> DataFrame:
+    """A yearly land report table with its date as a date, whatever its notation."""
+    return report.withColumn("date", as_date(report, "date"))
+
+
 def land_ratio_view(report: DataFrame, earliest: str = EARLIEST_DATE_TEXT) -> DataFrame:
     """As :func:`land_month_view`, after dropping rows with a garbage date.
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.functions import (
-    between,
     first_of_month,
+    in_period,
     last_days,
     last_of_previous_month,
     member,
@@ -41,7 +41,7 @@ def sell_through_by_region(ratios: DataFrame, as_of: date | None = None) -> Data
 def units_by_band(deals: DataFrame, *, period=None, as_of=None) -> DataFrame:
     """Units sold per size band with their share; one missing count makes the
     sum of its band missing."""
-    rows = deals.where(between("date", period or last_days(30, as_of)))
+    rows = deals.where(in_period(deals, "date", period or last_days(30, as_of)))
     bands = rows.groupBy("band").agg(sum_strict("units").alias("units"))
     return descending(with_share(bands, "units"), "units", "band")
 

@@ -10,10 +10,11 @@ _TYPES = {
     "long": T.LongType(),
     "double": T.DoubleType(),
     "date": T.DateType(),
-    "area": T.DecimalType(10, 2),
-    "land": T.DecimalType(15, 3),
-    # summed over many rows: exact, whatever the order of the rows
-    "exact": T.DecimalType(18, 4),
+    # stored figures; a database table has narrower ones, see sinks.DATABASE_TYPES
+    "area": T.DecimalType(28, 2),
+    "land": T.DecimalType(28, 3),
+    # as read: nothing is rounded before it is banded, and sums are exact in any order
+    "exact": T.DecimalType(28, 8),
 }
 
 
@@ -28,11 +29,11 @@ def _schema(spec: str) -> T.StructType:
 
 # --- inputs of the batch pipeline -------------------------------------------
 SALE_DAILY = _schema(
-    "region permit record_name category_raw:string, units:int, area:area, date:date"
+    "region permit record_name category_raw:string, units:long, area:exact, date:date"
 )
 SUPPLY_RAW = _schema(
-    "permit record_name region:string, open_date:date, area:area, "
-    "total_units for_sale non_sale:int, res_price com_price:area"
+    "permit record_name region:string, open_date:date, area:exact, "
+    "total_units for_sale non_sale:long, res_price com_price:exact"
 )
 PROMO = _schema("permit promo_name:string")
 ROOM_PRICE = _schema("permit record_name remark:string, area total_price:exact")
@@ -43,22 +44,22 @@ PROJECT_INFO = _schema(
 
 # --- outputs of the batch pipeline ------------------------------------------
 DEAL_LIST = _schema(
-    "region permit record_name:string, units:int, area:area, date:date, "
+    "region permit record_name:string, units:long, area:area, date:date, "
     "res_price:area, promo_name category band:string"
 )
 HISTORY_SUPPLY = _schema(
     "permit region:string, area:area, record_name:string, open_date:date, "
-    "total_units for_sale non_sale:int, res_price com_price:area, "
+    "total_units for_sale non_sale:long, res_price com_price:area, "
     "promo_name delivery manager:string, land_area:land, "
     "volume far green presale band:string"
 )
-REGION_RATIO = _schema("date:date, region:string, units total_units for_sale non_sale:int")
+REGION_RATIO = _schema("date:date, region:string, units total_units for_sale non_sale:long")
 REGION_BAND_RATIO = _schema(
-    "date:date, region band:string, units total_units for_sale non_sale:int"
+    "date:date, region band:string, units total_units for_sale non_sale:long"
 )
 REGION_BAND_STOCK = _schema(
-    "date:date, region band:string, units:int, area_x:area, for_sale:int, "
-    "area_y:area, total_units non_sale:int, area:area"
+    "date:date, region band:string, units:long, area_x:area, for_sale:long, "
+    "area_y:area, total_units non_sale:long, area:area"
 )
 
 # --- further inputs of the report layer -------------------------------------

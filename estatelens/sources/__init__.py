@@ -11,7 +11,7 @@ from estatelens.sources.readers import (
     register_views,
 )
 from estatelens.sources.sinks import (
-    checkpoint_ready,
+    WorkingTables,
     jdbc_write_options,
     typed,
     with_headings,
@@ -21,7 +21,7 @@ from estatelens.sources.sinks import (
 )
 
 __all__ = [
-    "Partitioning", "checkpoint_ready", "conform", "drop_non_finite",
+    "Partitioning", "WorkingTables", "conform", "drop_non_finite",
     "jdbc_options", "jdbc_write_options", "normalise_names", "read_jdbc", "read_parquet",
     "register_views", "typed", "with_headings", "with_units",
     "write_jdbc", "write_table",

@@ -58,9 +58,11 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
     Columns that have their type already stay bare, so column pruning and
     filter pushdown go through. Text that does not fit a number or date
-    becomes NULL.
+    becomes NULL; a number that does not fit is an error. The folders that a
+    table is stored in stay as a column ``year``, for filters on them.
     """
-    return drop_non_finite(df.select(*(_as_declared(df, f) for f in SCHEMAS[table])))
+    folders = [F.col("year")] if "year" in df.columns and "year" not in SCHEMAS[table].names else []
+    return drop_non_finite(df.select(*(_as_declared(df, f) for f in SCHEMAS[table]), *folders))
 
 
 def _as_declared(df: DataFrame, field: T.StructField) -> Column:
@@ -68,7 +70,11 @@ def _as_declared(df: DataFrame, field: T.StructField) -> Column:
         return F.col(field.name)
     if isinstance(field.dataType, T.DateType):
         return as_date(df, field.name).alias(field.name)
-    return F.col(field.name).try_cast(field.dataType).alias(field.name)
+    have = df.schema[field.name].dataType
+    if isinstance(have, T.StringType):
+        return F.col(field.name).try_cast(field.dataType).alias(field.name)
+    value = finite(field.name) if isinstance(have, (T.DoubleType, T.FloatType)) else F.col(field.name)
+    return value.cast(field.dataType).alias(field.name)
 
 
 def read_parquet(spark: SparkSession, root: str, table: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ def _to(df: DataFrame, field: T.StructField) -> Column:
     value = F.col(field.name)
     if have == want:
         return value
-    if isinstance(want, T.IntegerType) and isinstance(have, (T.DoubleType, T.DecimalType)):
+    if isinstance(want, T.IntegralType) and isinstance(have, (T.DoubleType, T.DecimalType)):
         value = round_even(value)
     return value.cast(want).alias(field.name)
 
@@ -44,6 +45,9 @@ def write_table(
     date. Rows are rebalanced by them first: files come out evenly sized, and
     a directory with most of the rows is written by many tasks. ``sort_by``
     sorts inside each file, so that filters on those columns skip row groups.
+
+    The new table is written beside the old one and takes its place when it is
+    complete, so a failed run leaves the old one as it was.
     """
     out = typed(df, table)
     path = f"{root}/{table}"
@@ -52,12 +56,21 @@ def write_table(
         out = out.withColumns(dict(partition_by)).hint("rebalance", *folders)
     if folders or sort_by:
         out = out.sortWithinPartitions(*folders, *sort_by)
-    out.write.mode("overwrite").partitionBy(*folders).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    beside = f"{root}/_new-{table}-{uuid4().hex}"
+    try:
+        out.write.partitionBy(*folders).parquet(beside)
+        _swap(df.sparkSession, beside, path)
+    finally:
+        _remove(df.sparkSession, beside)
+    # with its schema, as an empty table leaves no file to infer it from
+    return df.sparkSession.read.schema(out.schema).parquet(path)
 
 
-# column types of database tables
-DATABASE_TYPES = {T.StringType(): "VARCHAR(255)", T.IntegerType(): "INTEGER", T.DateType(): "DATE"}
+# column types of database tables; a value that doesn't fit one is an error
+DATABASE_TYPES = {
+    T.StringType(): "VARCHAR(255)", T.IntegerType(): "INTEGER", T.DateType(): "DATE",
+    T.LongType(): "INTEGER", T.DecimalType(28, 2): "DECIMAL(10,2)", T.DecimalType(28, 3): "DECIMAL(15,3)",
+}
 
 
 def jdbc_write_options(
@@ -83,7 +96,12 @@ def write_jdbc(df: DataFrame, url: str, table: str, connections: int, **properti
     """
     names = {canonical: name for name, canonical in SOURCE_TABLES[table][1].items()}
     options = jdbc_write_options(url, table, connections, properties)
-    out = typed(df, table).withColumnsRenamed(names)
+    out = typed(df, table)
+    narrow = {
+        f.name: F.col(f.name).cast(DATABASE_TYPES[f.dataType])
+        for f in out.schema if isinstance(f.dataType, (T.LongType, T.DecimalType)) and f.dataType in DATABASE_TYPES
+    }
+    out = out.withColumns(narrow).withColumnsRenamed(names)
     out.write.format("jdbc").options(**options).mode("overwrite").save()
 
 
@@ -101,13 +119,45 @@ def with_units(df: DataFrame, report: str) -> DataFrame:
     ))
 
 
-def checkpoint_ready(spark: SparkSession, fallback: str) -> None:
-    """Make sure checkpoints go to storage that all executors share.
+class WorkingTables:
+    """Written intermediate tables of one run, in a folder of their own that goes with the run.
 
-    The folder the cluster names in ``spark.checkpoint.dir`` is taken as it
-    is. ``fallback`` is used only where none is set; it should lie next to the
-    output tables.
+    They lie in the folder that the cluster names in ``spark.checkpoint.dir``,
+    which all executors share; ``fallback`` is used only where none is set and
+    should lie next to the output tables.
     """
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or fallback)
+
+    def __init__(self, spark: SparkSession, fallback: str):
+        self.spark = spark
+        folder = spark.conf.get("spark.checkpoint.dir", None) or fallback
+        self.folder = f"{folder.rstrip('/')}/work-{uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> WorkingTables:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        _remove(self.spark, self.folder)
+
+
+def _files(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target, files = _files(spark, path)
+    files.delete(target, True)
+
+
+def _swap(spark: SparkSession, new: str, old: str) -> None:
+    """Put the folder ``new`` in the place of ``old``."""
+    _remove(spark, old)
+    source, files = _files(spark, new)
+    target, _ = _files(spark, old)
+    if not files.rename(source, target):
+        raise OSError(f"{new} could not be renamed to {old}")

@@ -1,9 +1,10 @@
 from datetime import date
-from functools import partial
 from decimal import Decimal
+from functools import partial
+from pathlib import Path
 
 import pytest
-from conftest import planned, rows
+from conftest import planned, rows, values
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,7 +12,7 @@ from estatelens import schemas
 from estatelens.plans import catalog, deals, pickers, views
 from estatelens.sources import (
     Partitioning,
-    checkpoint_ready,
+    WorkingTables,
     conform,
     drop_non_finite,
     jdbc_options,
@@ -68,7 +69,7 @@ def test_read_parquet_pushes_filters_and_prunes_columns(spark, tmp_path):
     assert df.columns == schemas.SALE_DAILY.fieldNames()
     plan = planned(df.where("region = 'r'").groupBy("date").agg(F.sum("units")))
     assert "EqualTo(`所在地区`,r)" in plan
-    assert "ReadSchema: struct<所在地区:string,套数:int,日期:date>" in plan
+    assert "ReadSchema: struct<所在地区:string,套数:bigint,日期:date>" in plan
 
 
 def test_jdbc_options():
@@ -106,8 +107,8 @@ def test_typed_rounds_counts_and_orders_columns(table):
 def test_typed_refuses_values_that_do_not_fit(table):
     df = table("permit string, promo_name int", ("a", 1))
     assert typed(df, "promo").schema["promo_name"].dataType == T.StringType()
-    big = table("date date, region string, units long, total_units long, for_sale long, "
-                "non_sale long", (None, None, 2**40, 1, 1, 1))
+    big = table("date date, region string, units double, total_units long, for_sale long, "
+                "non_sale long", (None, None, 1e30, 1, 1, 1))
     with pytest.raises(Exception, match="CAST_OVERFLOW"):
         typed(big, "region_ratio").collect()
 
@@ -132,27 +133,27 @@ def test_units(table):
     assert got.columns == ["库存量", "库存面积"] and rows(got) == [("1200套", "3.5万㎡")]
 
 
-def test_checkpoints_go_where_the_session_says():
-    class Context:
-        folder = None
-
-        def getCheckpointDir(self):
-            return self.folder
+def test_working_tables_go_where_the_session_says(spark, table, tmp_path):
+    named = spark.conf.get("spark.checkpoint.dir", None) or str(tmp_path)
+    with pytest.raises(ZeroDivisionError), WorkingTables(spark, str(tmp_path)) as work:
+        folder = Path(work.folder.removeprefix("file:"))
+        assert str(folder.parent) == named.removeprefix("file:").rstrip("/")
+        assert values(work.keep(table("x int", (1,)), "t")) == [1]
+        assert folder.exists()
+        1 / 0
+    assert not folder.exists()
 
-        def setCheckpointDir(self, folder):
-            self.folder = folder
 
-    class Session:
-        def __init__(self, **settings):
-            self.sparkContext, self.conf = Context(), settings
-
-    named, unset, ready = Session(**{"spark.checkpoint.dir": "shared"}), Session(), Session()
-    ready.sparkContext.folder = "already"
-    for session in (named, unset, ready):
-        checkpoint_ready(session, "fallback")
-    assert [s.sparkContext.folder for s in (named, unset, ready)] == [
-        "shared", "fallback", "already"
-    ]
+def test_failed_write_leaves_the_old_table(table, tmp_path):
+    write_table(table("permit string, promo_name string", ("p", "old")), str(tmp_path), "promo")
+    broken = table("permit string, promo_name string", ("p", "new")).select(
+        "permit", F.raise_error(F.lit("broken")).cast("string").alias("promo_name")
+    )
+    with pytest.raises(Exception, match="broken"):
+        write_table(broken, str(tmp_path), "promo")
+    assert [p.name for p in tmp_path.iterdir()] == ["promo"]
+    again = write_table(table("permit string, promo_name string", ("p", "new")), str(tmp_path), "promo")
+    assert rows(again) == [("p", "new")]
 
 
 def test_register_views(spark, table):
@@ -191,7 +192,7 @@ def test_date_filter_on_stored_deals_reaches_the_scan(spark, tmp_path, capsys):
     for pushed in ("GreaterThanOrEqual(date,2019-01-01)", "LessThanOrEqual(date,2019-02-01)",
                    "EqualTo(region,鹿城区)", "EqualTo(category,住宅)"):
         assert pushed in plan
-    assert "ReadSchema: struct<region:string,units:int,area:decimal(10,2),date:date,res_price:" in plan
+    assert "ReadSchema: struct<region:string,units:bigint,area:decimal(28,2),date:date,res_price:" in plan
 
 
 def test_pickers(table):
