@@ -129,7 +129,7 @@ class WordEncoder:
     Keeps at most ``most`` words.
     """
 
-    def __init__(self, replay: Replay, pattern: str, most: int = 800_000):
+    def __init__(self, replay: Replay, pattern: str, most: int = 300_000):
         self.replay, self.most = replay, most
         self.words_of = regex.compile(pattern).findall
         self.ids: dict[str, bytes] = {}
@@ -161,7 +161,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, units = encoder(path, pattern)
-        for batch in small_batches(batches, "text", 16 << 20):
+        for batch in small_batches(batches, "text", 4 << 20):
             ids, at = units.texts(*texts_of(batch.column("text")))
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "ids": lists})
@@ -201,7 +201,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay, units = encoder(path, pattern)
         decimal = [str(i).encode() for i in range(replay.end)]
-        for batch in small_batches(batches, "text", 16 << 20):
+        for batch in small_batches(batches, "text", 4 << 20):
             ids, at = units.texts(*texts_of(batch.column("text")))
             said, back = [], []
             for i in range(batch.num_rows):

@@ -40,7 +40,7 @@ class NormalisedWords:
     from the library. Keeps at most ``most`` words.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path).model
@@ -82,7 +82,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = encoder(path)
-        for batch in small_batches(batches, "text", 16 << 20):
+        for batch in small_batches(batches, "text", 4 << 20):
             ids, at = units.texts(*texts_of(batch.column("text")))
             row, start, length, crc = [], [], [], []
             for i in range(batch.num_rows):

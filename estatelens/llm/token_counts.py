@@ -119,7 +119,7 @@ def attribute(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay, units = encoder(path, pattern)
         size = np.fromiter(map(len, replay.tokens), np.int64, replay.end)
-        for batch in small_batches(batches, "text", 8 << 20):
+        for batch in small_batches(batches, "text", 4 << 20):
             data, at = texts_of(batch.column("text"))
             ids, ids_at = units.texts(data, at)
             for low in range(0, batch.num_rows, step := 64):

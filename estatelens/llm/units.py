@@ -97,7 +97,7 @@ class UnitEncoder:
     is for vocabularies that ignore case and white space.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 1_000_000, fold: bool = False):
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 500_000, fold: bool = False):
         self.encode, self.most, self.fold = encode, most, fold
         self._forget()
 
