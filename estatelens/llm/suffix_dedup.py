@@ -235,13 +235,16 @@ def repeated(docs: DataFrame, length: int = 400, q: int = 128, large: int = 1024
     runs = scratch.table(_runs(docs, length, q), "runs")
     buckets = runs.groupBy("gram").agg(
         F.count("*").alias("c"), (F.min("whole") != F.max("whole")).alias("mixed")
-    ).where("c > 1")
-    shared = scratch.table(runs.join(buckets, "gram").drop("c"), "shared")
+    ).where("c > 1").drop("c")
+    # a table of its own: adaptive execution splits hot keys only where both sides come from plain exchanges
+    buckets = scratch.table(buckets, "buckets")
+    shared = scratch.table(runs.join(buckets, "gram"), "shared")
     classes = shared.where("mixed").groupBy("gram", "whole").agg(
         F.count("*").alias("c"), F.min(F.struct("doc_id", "body", "pos", "n")).alias("one")
     )
     classes = scratch.table(classes.select("gram", "whole", "one.*", (F.col("c") == 1).alias("single")), "classes")
     scratch.drop("runs")
+    scratch.drop("buckets")
     where = ["doc_id", "body", "pos", "n"]
     settled = shared.where("not mixed").select(where).unionByName(
         shared.where("mixed").join(classes.where("not single").select("gram", "whole"), ["gram", "whole"]).select(where)
