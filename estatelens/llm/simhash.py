@@ -155,9 +155,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, blocks: int
     linked = nodes.join(roots, nodes.fp == roots.node).select("fp", "first_id", "root")
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked = linked.join(smallest, "root").select("fp", "least_id")
-    classes = nodes.join(linked, "fp", "left").select(
+    # a table of its own: adaptive execution splits a hot fingerprint only where both sides come from
+    # plain exchanges
+    classes = scratch.table(nodes.join(linked, "fp", "left").select(
         "fp", F.coalesce("least_id", "first_id").alias("component_id")
-    )
+    ), "classes")
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
