@@ -1,10 +1,7 @@
-import sys
-from pathlib import Path
+"""What the tests of the training-data operators share."""
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
-
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 

@@ -7,10 +7,9 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from conftest import words
 
 from estatelens.llm import queries, simhash, suffix_dedup
-from tests.llm.conftest import MEDIUM, SMALL
+from tests.llm.support import MEDIUM, SMALL, docs, words  # noqa: F401  (docs is a fixture)
 
 
 def plain_fingerprint(text):

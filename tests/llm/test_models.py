@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from estatelens.llm import neighbours, queries, urls
-from tests.llm.conftest import MEDIUM
+from tests.llm.support import MEDIUM
 
 LARGE = "/root/testdata/sf0.1"
 SPAM = ("ads", "spam", "casino", "adult", "pills", "bets")

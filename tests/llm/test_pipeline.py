@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 import public_tokenizers as P
 from estatelens.llm import suffix_dedup
-from tests.llm.conftest import MEDIUM
+from tests.llm.support import MEDIUM, docs  # noqa: F401  (docs is a fixture)
 from tests.llm.test_dedup import plain_components, plain_repeats
 from tests.llm.test_tokens import check_packing
 

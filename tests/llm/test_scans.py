@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from estatelens.llm import licenses, queries, quality, secrets
-from tests.llm.conftest import MEDIUM
+from tests.llm.support import MEDIUM, docs  # noqa: F401  (docs is a fixture)
 
 NAMES = ("op1_license_scans", "op2_quality_rules", "op7_secret_scans")
 ODD = [

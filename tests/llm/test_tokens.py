@@ -11,7 +11,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from estatelens.llm import bpe, packing, queries, token_counts
-from tests.llm.conftest import MEDIUM, SMALL
+from tests.llm.support import MEDIUM, SMALL, docs  # noqa: F401  (docs is a fixture)
 
 RANKS, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
 ODD = [
