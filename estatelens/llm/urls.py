@@ -22,7 +22,7 @@ BLOCK_NAMES = (
     "pills-online cheapmeds cheap-drugs pharma-pills diet-pills cheap-pharmacy adult-video xadult adult-dating "
     "xxx-adult adults-only spam-mail spamlinks buy-spam link-farm content-farm click-farm ads-server adsclick "
     "track-ads tracking tracker user-track free-loans cheap-loans free-movies win-prize malware-kit win-phone "
-    "ads-network"
+    "ads-network ads-media click-track track-pixel adserve"
 ).split()
 ALLOW_NAMES = (
     "library mountains history science gardening nature weather teaching museum edition recipes music journal "
