@@ -91,6 +91,7 @@ def _signed(x: int) -> int:
 
 def _forest(values: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """Links of a spanning forest over fingerprints at most ``bits`` apart."""
+    unsigned = values.view(np.uint64)  # of a negative number bitwise_count takes the absolute value
     left = np.ones(len(values), bool)
     links = []
     for seed in range(len(values)):
@@ -101,7 +102,7 @@ def _forest(values: np.ndarray, bits: int) -> list[tuple[int, int]]:
         while queue:
             at = queue.pop()
             rest = np.flatnonzero(left)
-            near = rest[np.bitwise_count(values[rest] ^ values[at]) <= bits]
+            near = rest[np.bitwise_count(unsigned[rest] ^ unsigned[at]) <= bits]
             left[near] = False
             queue += near.tolist()
             links += [(int(values[at]), int(values[n])) for n in near]

@@ -130,6 +130,23 @@ def test_crowded_blocks_lose_no_link(spark):
         assert [find(i) for i in range(len(fps))] == plain_components(fps)
 
 
+@pytest.mark.parametrize("large", [1, 1024])
+def test_links_over_the_highest_bit(spark, large):
+    near = [{63, 0}, {63, 30, 40}, {63, 62, 61}, {63}]
+    rng = random.Random(6)
+    pairs = []
+    for flips in near:
+        a = rng.getrandbits(64)
+        pairs.append((a, a ^ sum(1 << b for b in flips)))
+    far = rng.getrandbits(64)
+    fps = [f for pair in pairs for f in pair] + [far, far ^ 0xFFFFFFFF00000000]
+    nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp bigint")
+    found = {frozenset((r.u % (1 << 64), r.v % (1 << 64))) for r in simhash.links(nodes, large=large).collect()}
+    assert found == set(map(frozenset, pairs))
+    signed = np.array([far, far ^ 0xFFFFFFFF00000000], np.uint64).view(np.int64)
+    assert simhash._forest(signed, 3) == []
+
+
 def test_one_document_of_each_group_stays(docs):
     same = "one two three four five six seven eight"
     rows = [(4, same), (2, same.upper()), (2, same), (None, same), (None, None), (None, ""), (7, "other words here")]
