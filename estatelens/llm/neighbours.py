@@ -38,8 +38,10 @@ class Index:
         self.values = np.take_along_axis(values, self.order, axis=1)
         self.threshold = int(np.ceil(share * projections))
 
-    def candidates(self, query: np.ndarray, k: int, start: float = 0.25, growth: float = 1.25) -> np.ndarray:
-        """Rows that were verified until ``k`` of them lay within the radius."""
+    def candidates(
+        self, query: np.ndarray, k: int, ids: np.ndarray, own: int, start: float = 0.25, growth: float = 1.25
+    ) -> np.ndarray:
+        """Rows that were verified until ``k`` distinct ids other than ``own`` lay within the radius."""
         n, m = len(self.units), len(self.values)
         centre = query @ self.directions
         low = np.array([np.searchsorted(v, c) for v, c in zip(self.values, centre)])
@@ -59,7 +61,8 @@ class Index:
             new = np.flatnonzero((hits >= self.threshold) & ~verified)
             verified[new] = True
             distance[new] = np.sqrt(np.maximum(0, 2 - 2 * (self.units[new] @ query)))
-            if (distance <= radius).sum() >= k or verified.all():
+            within = ids[distance <= radius]
+            if len(np.unique(within[within != own])) >= k or verified.all():
                 return np.flatnonzero(verified)
             radius *= growth
 
@@ -73,11 +76,13 @@ def _search(k: int, options: dict):
             norms, lengths = np.sqrt((rows * rows).sum(1)), np.sqrt((wanted * wanted).sum(1))
             index = Index(rows / norms[:, None], **options)
             for q in range(len(asked)):
-                # one more than k, as the query's own row may be among them
-                found = index.candidates(wanted[q] / lengths[q], k + 1)
+                # one more than k, so that no block looks less far than one with the query's own row
+                found = index.candidates(wanted[q] / lengths[q], k + 1, ids, asked[q])
                 found = found[ids[found] != asked[q]]
                 score = (rows[found] * wanted[q]).sum(1) / (norms[found] * lengths[q])
-                best = np.lexsort((ids[found], -score))[:k]
+                best = np.lexsort((ids[found], -score))
+                _, first = np.unique(ids[found][best], return_index=True)  # the nearest row of each id
+                best = best[np.sort(first)[:k]]
                 out.append((np.full(len(best), asked[q]), ids[found][best], score[best]))
         parts = [np.concatenate(x) for x in zip(*out)] or [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), parts)))
@@ -114,7 +119,7 @@ def nearest(
     counts. Every vector is indexed; ``options`` go to the index.
     """
     spark = vectors.sparkSession
-    data = usable(vectors)
+    data = usable(vectors).distinct()
     asked = usable(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     n, n_asked = data.count(), asked.count()
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))

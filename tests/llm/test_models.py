@@ -127,3 +127,18 @@ def test_neighbours_of_odd_vectors(spark):
     assert neighbours.nearest(table.where("false"), asked.where("false")).count() == 0
     few = neighbours.nearest(table.where("vec_id in (200, 201, 202)"), asked.where("vec_id = 200"))
     assert sorted(r.vec_id for r in few.collect()) == [201, 202]
+
+
+@pytest.mark.parametrize("times", [2, 10])
+def test_neighbours_of_repeated_rows(spark, times):
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(150)]
+    # other vectors of the same ids, close to the first query but less close than its copies
+    near = [(7, [x + 0.001 * j for x in rows[0][1]]) for j in range(1, times)]
+    table = spark.createDataFrame(rows * times + near, "vec_id bigint, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(table, table.where("vec_id % 50 = 0"), least_block=20).orderBy("rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    for q in (0, 50, 100):
+        order = [i for i, _ in plain_nearest(rows + near, [q], len(rows + near))[q]]
+        assert found[q] == list(dict.fromkeys(order))[:5]
