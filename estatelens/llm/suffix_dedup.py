@@ -21,6 +21,9 @@ equal windows share one:
 A bucket with more than ``large`` classes is not brought together in one task:
 its windows are counted by name with partial aggregates. Names have 64 bits; the
 q-gram's name and the window's name have to agree, both taken from different mixes.
+
+The same works on words instead of bytes: a text is then the sequence of the names
+of its words, and ``length`` and ``q`` count words.
 """
 
 from __future__ import annotations
@@ -41,6 +44,29 @@ _BYTE, _GRAM, _WINDOW, _TEXT = (
 _RUN = "doc_id bigint, body bigint, pos bigint, n bigint, gram bigint, whole bigint"
 
 
+def word_bounds(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words begin and end; ASCII white space stands between them."""
+    solid = np.zeros(len(text) + 2, np.int8)
+    solid[1:-1] = (text != 32) & ((text < 9) | (text > 13))
+    edges = np.diff(solid)
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
+def elements(text: np.ndarray, words: bool) -> np.ndarray:
+    """The bytes of a text, or the names of its words."""
+    if not words:
+        return text
+    begin, end = word_bounds(text)
+    if not len(begin):
+        return np.empty(0, np.uint64)
+    size = end - begin
+    first = np.cumsum(size) - size
+    within = np.arange(size.sum()) - np.repeat(first, size)
+    powers = np.cumprod(np.full(size.max(), _BYTE, np.uint64))
+    values = text[np.repeat(begin, size) + within].astype(np.uint64) + np.uint64(1)
+    return finish(np.add.reduceat(values * powers[within], first))
+
+
 def names(first: np.ndarray, have: int, want: int, multiplier: int) -> np.ndarray:
     """Names of ``want`` elements from names of ``have``: each step joins the names at two offsets."""
     while have < want:
@@ -97,14 +123,15 @@ def runs_of(data: np.ndarray, length: int, q: int) -> tuple[np.ndarray, ...]:
     return begin, end - begin, least[begin], _range_names(grams, q, begin, end - 1 + length)
 
 
-def _runs(docs: DataFrame, length: int, q: int) -> DataFrame:
+def _runs(docs: DataFrame, length: int, q: int, words: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = texts_of(batch.column("text"))
             rows, parts = [], []
             for i in range(batch.num_rows):
-                if at[i + 1] - at[i] >= length:
-                    parts.append(runs_of(data[at[i] : at[i + 1]], length, q))
+                own = elements(data[at[i] : at[i + 1]], words)
+                if len(own) >= length:
+                    parts.append(runs_of(own, length, q))
                     rows.append(i)
             if not rows:
                 continue
@@ -119,8 +146,8 @@ def _runs(docs: DataFrame, length: int, q: int) -> DataFrame:
     return docs.mapInArrow(run, _RUN)
 
 
-def _texts_of_runs(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """The runs with the bytes that their windows cover."""
+def _texts_of_runs(docs: DataFrame, runs: DataFrame, length: int, words: bool) -> DataFrame:
+    """The runs with the bytes, or the names of the words, that their windows cover."""
     asked = runs.groupBy("doc_id", "body").agg(
         F.collect_list(F.struct("gram", "pos", "n", "single")).alias("asked")
     ).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "asked")
@@ -129,17 +156,17 @@ def _texts_of_runs(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = texts_of(batch.column("text"))
-            view = memoryview(data)
             asked = batch.column("asked")
             row = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
             gram, pos, n, single = asked.flatten().flatten()
-            begin = at[row] + pos.to_numpy()
+            own = [elements(data[a:b], words) for a, b in zip(at[:-1], at[1:])]
+            begin = pos.to_numpy()
             end = begin + n.to_numpy() - 1 + length
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id").take(pa.array(row)),
                 "body": batch.column("body").take(pa.array(row)),
                 "gram": gram, "pos": pos, "n": n, "single": single,
-                "bytes": pa.array([bytes(view[a:b]) for a, b in zip(begin, end)], pa.binary()),
+                "bytes": pa.array([own[i][a:b].tobytes() for i, a, b in zip(row, begin, end)], pa.binary()),
             })
 
     return found.select("doc_id", "body", "text", "asked").mapInArrow(
@@ -147,12 +174,14 @@ def _texts_of_runs(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
     )
 
 
-def _window_names(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _window_names(column: pa.Array, length: int, words: bool) -> tuple[np.ndarray, np.ndarray]:
     """Names of all windows of the texts, one text after the other, and the text of each."""
     column = column.cast(pa.large_binary())
     at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]]
     at = at - at[0]
+    if words:
+        data, at = data.view(np.uint64), at // 8
     of_all = names(gram_names(data, 100), 100, length, _WINDOW) if length > 100 else gram_names(data, length)
     count = np.diff(at) - length + 1
     text = np.repeat(np.arange(len(count)), count)
@@ -160,13 +189,13 @@ def _window_names(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray
     return of_all[np.arange(count.sum()) - first[text] + at[text]], text
 
 
-def _same_windows(runs: DataFrame, length: int) -> DataFrame:
+def _same_windows(runs: DataFrame, length: int, words: bool) -> DataFrame:
     """Windows that repeat within a bucket; all runs of a bucket are in one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["gram"], 2000):
             table = table.combine_chunks()
-            name, text = _window_names(table.column("bytes").chunk(0), length)
+            name, text = _window_names(table.column("bytes").chunk(0), length, words)
             gram = table.column("gram").to_numpy().view(np.uint64)[text]
             order = np.lexsort((name, gram))
             same = (name[order][1:] == name[order][:-1]) & (gram[order][1:] == gram[order][:-1])
@@ -195,14 +224,14 @@ def _marks(table: pa.Table, text: np.ndarray, repeats: np.ndarray) -> pa.RecordB
     })
 
 
-def _counted_windows(runs: DataFrame, length: int) -> DataFrame:
+def _counted_windows(runs: DataFrame, length: int, words: bool) -> DataFrame:
     """As _same_windows for buckets of any size: windows are rows, counted by name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                name, text = _window_names(part.column("bytes"), length)
+                name, text = _window_names(part.column("bytes"), length, words)
                 first = np.concatenate(([True], text[1:] != text[:-1]))
                 within = np.arange(len(text)) - np.flatnonzero(first)[np.cumsum(first) - 1]
                 row = pa.array(text)
@@ -222,8 +251,8 @@ def _counted_windows(runs: DataFrame, length: int) -> DataFrame:
     )
 
 
-def repeated(docs: DataFrame, length: int = 400, q: int = 128, large: int = 1024) -> DataFrame:
-    """(doc_id, body, pos, n): n consecutive windows from byte pos on that also start elsewhere.
+def repeated(docs: DataFrame, length: int = 400, q: int = 128, large: int = 1024, words: bool = False) -> DataFrame:
+    """(doc_id, body, pos, n): n consecutive windows from byte (or word) pos on that also start elsewhere.
 
     ``body`` is a hash of the text. Rows with the same doc_id and text get the
     same windows, as each of them repeats the other.
@@ -232,7 +261,7 @@ def repeated(docs: DataFrame, length: int = 400, q: int = 128, large: int = 1024
         raise ValueError("q must not exceed length")
     scratch = Scratch(docs.sparkSession, "suffixes")
     docs = with_body(docs)
-    runs = scratch.table(_runs(docs, length, q), "runs")
+    runs = scratch.table(_runs(docs, length, q, words), "runs")
     buckets = runs.groupBy("gram").agg(
         F.count("*").alias("c"), (F.min("whole") != F.max("whole")).alias("mixed")
     ).where("c > 1").drop("c")
@@ -250,10 +279,10 @@ def repeated(docs: DataFrame, length: int = 400, q: int = 128, large: int = 1024
         shared.where("mixed").join(classes.where("not single").select("gram", "whole"), ["gram", "whole"]).select(where)
     )
     sizes = classes.groupBy("gram").agg((F.count("*") > large).alias("crowded"))
-    texts = _texts_of_runs(docs, classes.drop("whole"), length).join(sizes, "gram")
+    texts = _texts_of_runs(docs, classes.drop("whole"), length, words).join(sizes, "gram")
     texts = scratch.table(texts, "texts")
-    same = _same_windows(texts.where("not crowded").drop("crowded"), length)
-    counted = _counted_windows(texts.where("crowded").drop("crowded"), length)
+    same = _same_windows(texts.where("not crowded").drop("crowded"), length, words)
+    counted = _counted_windows(texts.where("crowded").drop("crowded"), length, words)
     return scratch.table(settled.unionByName(same).unionByName(counted), "windows")
 
 
@@ -279,14 +308,21 @@ def _whole_characters(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> t
     return begin, np.maximum(begin, first[np.searchsorted(first, end, "right") - 1])
 
 
-def cut_repeats(docs: DataFrame, length: int = 400, q: int = 128, large: int = 1024) -> DataFrame:
+def cut_repeats(
+    docs: DataFrame, length: int = 400, q: int = 128, large: int = 1024, words: int | None = None
+) -> DataFrame:
     """The rows of ``docs`` with repeated passages cut out of their texts; n_chars follows if there is one.
 
-    As remove_repeats, but only whole characters go. A text of which nothing is
-    left stays as an empty one.
+    As remove_repeats, but only whole characters go. With ``words``, passages of
+    so many words that stand elsewhere too go as well, however short they are. A
+    text of which nothing is left stays as an empty one.
     """
-    found = repeated(docs, length, q, large).groupBy("doc_id", "body").agg(
-        F.collect_list(F.struct("pos", "n")).alias("_windows")
+    windows = repeated(docs, length, q, large).withColumn("w", F.lit(False))
+    if words:
+        by_words = repeated(docs, words, max(1, words // 3), large, words=True)
+        windows = windows.unionByName(by_words.withColumn("w", F.lit(True)))
+    found = windows.groupBy("doc_id", "body").agg(
+        F.collect_list(F.struct("pos", "n", "w")).alias("_windows")
     ).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "_windows")
     own = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_own"),
@@ -298,14 +334,20 @@ def cut_repeats(docs: DataFrame, length: int = 400, q: int = 128, large: int = 1
         for batch in batches:
             windows = batch.column("_windows")
             has, place = windows.is_valid().to_numpy(False), windows.offsets.to_numpy()
-            pos, n = (x.to_numpy() for x in windows.values.flatten())
+            pos, n, in_words = (x.to_numpy(False) for x in windows.values.flatten())
             data, at = texts_of(batch.column("text"))
             texts = batch.column("text").to_pylist()
             for i in np.flatnonzero(has):
                 text, part = data[at[i] : at[i + 1]], slice(place[i], place[i + 1])
                 stay = np.ones(len(text), bool)
-                for a, b in zip(*_whole_characters(text, *spans_of(pos[part], n[part], length))):
-                    stay[a:b] = False
+                w, p, c = in_words[part].astype(bool), pos[part], n[part]
+                if not w.all():
+                    for a, b in zip(*_whole_characters(text, *spans_of(p[~w], c[~w], length))):
+                        stay[a:b] = False
+                if w.any():
+                    begin, end = word_bounds(text)
+                    for a, b in zip(*spans_of(p[w], c[w], words)):
+                        stay[begin[a] : end[b - 1]] = False
                 texts[i] = text[stay].tobytes().decode()
             row = batch.column("_row")
             out = dict(zip((f.name for f in row.type), row.flatten()))
