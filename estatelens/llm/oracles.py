@@ -134,3 +134,49 @@ SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(
        coalesce(spans, '') AS spans
 FROM texts LEFT JOIN told USING (r)
 """
+
+
+# --- vector codes --------------------------------------------------------------
+def _codes(of: str, name: str) -> str:
+    """The nearest entry of every part and its squared distance, from a codebook table."""
+    return f"""{name} AS MATERIALIZED (
+    SELECT r, part, min(d * 256 + entry) AS best FROM (
+        SELECT x.r, x.part, b.entry, sum((x.x - b.x) * (x.x - b.x)) AS d
+        FROM parts x JOIN {of} b ON b.part = x.part AND b.pos = x.pos GROUP BY 1, 2, 3
+    ) GROUP BY 1, 2
+)"""
+
+
+def _next_book(before: str, codes: str, name: str) -> str:
+    return f"""{name} AS MATERIALIZED (
+    SELECT b.part, b.entry, b.pos, coalesce(m.x, b.x) AS x FROM {before} b LEFT JOIN (
+        SELECT p.part, c.best % 256 AS entry, p.pos, CAST(floor(sum(p.x) / count(*)) AS BIGINT) AS x
+        FROM parts p JOIN {codes} c ON c.r = p.r AND c.part = p.part GROUP BY 1, 2, 3
+    ) m ON m.part = b.part AND m.entry = b.entry AND m.pos = b.pos
+)"""
+
+
+_ROUNDS = ",\n".join(
+    f"{_codes(f'book{i}', f'codes{i}')},\n{_next_book(f'book{i}', f'codes{i}', f'book{i + 1}')}" for i in range(4)
+)
+VECTOR_CODES = f"""
+WITH kept AS (
+    SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r, vec_id, label, embedding
+    FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), parts AS MATERIALIZED (
+    SELECT r, i // (len(embedding) // 4) AS part, i % (len(embedding) // 4) AS pos,
+           CAST(floor(CAST(embedding[i + 1] AS DOUBLE) * 1024) AS BIGINT) AS x
+    FROM (SELECT r, embedding, unnest(range(len(embedding))) AS i FROM kept)
+), book0 AS MATERIALIZED (
+    SELECT part, r AS entry, pos, x FROM parts WHERE r < 256
+), {_ROUNDS}, {_codes('book4', 'codes4')},
+coded AS (
+    SELECT r, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code,
+           CAST(sum(best // 256) AS BIGINT) AS error
+    FROM codes4 GROUP BY r
+)
+SELECT k.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM book4) AS codebooks_sha256
+FROM kept k JOIN coded c ON c.r = k.r
+"""

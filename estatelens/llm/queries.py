@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelens.llm import bpe, licenses, neighbours, oracles, packing, quality, secrets, simhash, suffix_dedup, token_counts, urls
+from estatelens.llm import bpe, licenses, neighbours, oracles, packing, quality, secrets, simhash, suffix_dedup, token_counts, urls, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,13 @@ def token_counts_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@query("op13_vector_codes", oracles.VECTOR_CODES)
+def vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    code = F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return vector_codes.with_label_errors(codes).select(
+        "vec_id", code.alias("code"), "error", "label_error",
+        F.lit(books.sha256 if books else None).cast("string").alias("codebooks_sha256"),
+    )
