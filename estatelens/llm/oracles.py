@@ -180,3 +180,30 @@ SELECT k.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY k.label)
        (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM book4) AS codebooks_sha256
 FROM kept k JOIN coded c ON c.r = k.r
 """
+
+
+# --- substrings ----------------------------------------------------------------
+SUBSTRINGS = r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), places AS (
+    SELECT r, doc_id, words, unnest(range(len(words))) AS i FROM texts
+), windows AS (
+    SELECT r, doc_id, i, words[i + 1] AS word,
+           CASE WHEN i + 13 <= len(words) THEN array_to_string(words[i + 1 : i + 13], ' ') END AS passage
+    FROM places
+), first_ids AS (
+    SELECT passage, min(doc_id) AS least_id FROM windows WHERE passage IS NOT NULL GROUP BY 1
+), covered AS (
+    SELECT w.r, w.i, w.word, coalesce(max(CASE WHEN f.least_id < w.doc_id THEN 1 ELSE 0 END)
+        OVER (PARTITION BY w.r ORDER BY w.i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), 0) AS gone
+    FROM windows w LEFT JOIN first_ids f ON f.passage = w.passage
+), kept AS (
+    SELECT r, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS text
+    FROM covered GROUP BY r
+)
+SELECT t.doc_id, CAST(len(t.words) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256, coalesce(k.text, '') AS text
+FROM texts t LEFT JOIN kept k ON k.r = t.r
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelens.llm import bpe, licenses, neighbours, oracles, packing, quality, secrets, simhash, suffix_dedup, token_counts, urls, vector_codes
+from estatelens.llm import bpe, licenses, neighbours, oracles, packing, periodic_runs, quality, secrets, simhash, substrings, suffix_dedup, token_counts, urls, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,6 +98,46 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+@query("op11_substring_dedup", oracles.SUBSTRINGS)
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.col("kept").alias("text")
+    )
+
+
+def with_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): documents, of which about one in ten gets a tail of a repeated passage.
+
+    With h the CRC-32 of the decimal doc_id and g = floor(h / 10), a document of n > 0 words
+    with h divisible by 10 repeats from word a = g % n on the p = 1 + floor((n - a) / (3 + g % 8))
+    words that stand there.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), (h % 10 == 0).alias("tail"))
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    cut = chosen.select("doc_id", "text", "g", F.when(F.col("tail"), words).alias("words"))
+    cut = cut.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    cut = cut.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.col("n") - F.col("a")
+    passage = F.slice("words", F.col("a") + 1, F.col("p"))
+    again = F.flatten(F.array_repeat(passage, F.ceil(tail / F.col("p")).cast("int")))
+    whole = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(again, F.lit(1), tail))
+    return cut.select("doc_id", F.when(F.col("n") > 0, F.array_join(whole, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def periodic_runs_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.detect(with_tails(documents(spark, sf_dir)))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(line, "\n"), F.lit("\n"))).otherwise("")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 @query("op13_vector_codes", oracles.VECTOR_CODES)
 def vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, books = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
