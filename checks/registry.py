@@ -13,6 +13,7 @@ from estatelens.functions import round_even
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+BUILDS: dict[str, tuple[str, Callable[[Model], DataFrame]]] = {}  # column spec and report
 
 _SPARK = {"s": "string", "l": "bigint", "i": "int", "d": "double", "date": "date", "b": "boolean"}
 _SQL = {"s": "VARCHAR", "l": "BIGINT", "i": "INTEGER", "d": "DOUBLE", "date": "DATE", "b": "BOOLEAN"}
@@ -32,7 +33,7 @@ def _outputs(spec: str) -> list[tuple[str, str, int | None]]:
     return out
 
 
-def _spark_columns(df: DataFrame, spec: str) -> DataFrame:
+def with_columns(df: DataFrame, spec: str) -> DataFrame:
     return df.select(*(
         (round_even(n, digits) if digits is not None else F.col(n).cast(_SPARK[kind])).alias(n)
         for n, kind, digits in _outputs(spec)
@@ -56,8 +57,9 @@ def check(name: str, spec: str, sql: str):
 
     def add(build: Callable[[Model], DataFrame]):
         assert name not in QUERIES, name
-        QUERIES[name] = lambda spark, sf_dir: _spark_columns(build(model(spark, sf_dir)), spec)
+        QUERIES[name] = lambda spark, sf_dir: with_columns(build(model(spark, sf_dir)), spec)
         ORACLES[name] = _sql_columns(sql, spec)
+        BUILDS[name] = (spec, build)
         return build
 
     return add

@@ -23,6 +23,7 @@ from estatelens.functions.numeric import finite, ratio, round_even, to_number
 from estatelens.functions.predicates import (
     between,
     choice,
+    days_of,
     floor_bound,
     in_period,
     member,
@@ -41,7 +42,7 @@ from estatelens.functions.text import (
 )
 
 __all__ = [
-    "area_band", "as_date", "between", "choice", "count_rows", "finite",
+    "area_band", "as_date", "between", "choice", "count_rows", "days_of", "finite",
     "first_of_month", "floor_bound", "in_period", "last_days", "last_of_previous_month",
     "mean", "member", "month_key", "not_member", "number_text", "or_missing",
     "parse_date", "percent_text", "positive", "price_label", "ratio",

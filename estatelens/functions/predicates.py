@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from calendar import monthrange
 from collections.abc import Iterable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,13 +18,19 @@ def between(x: Column | str, span: tuple) -> Column:
     return column(x).between(F.lit(low), F.lit(high))
 
 
-def in_period(df: DataFrame, day: str, span: tuple) -> Column:
-    """As :func:`between` for a day of ``df``; also by ``year`` where the table is stored in folders of years."""
+def in_period(df: DataFrame, day: str, span: tuple, folder: str = "year") -> Column:
+    """As :func:`between` for a day of ``df``; also by ``folder`` where the table is stored in folders of years."""
     inside = between(day, span)
-    if "year" not in df.columns:
+    if folder not in df.columns:
         return inside
     low, high = (int(str(x)[:4]) for x in span)
-    return inside & F.col("year").between(low, high)
+    return inside & F.col(folder).between(low, high)
+
+
+def days_of(months: tuple[str, str]) -> tuple[date, date]:
+    """The first and the last day of a pair of months 'yyyy-MM'."""
+    low, high = (date(int(m[:4]), int(m[5:7]), 1) for m in months)
+    return low, high.replace(day=monthrange(high.year, high.month)[1])
 
 
 def member(x: Column | str, values: Iterable | object) -> Column:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from estatelens.constants import CITY_PROPER, LAND_AREA_BOUNDS, TEN_THOUSAND
 from estatelens.functions import (
-    between,
     choice,
     count_rows,
+    in_period,
     last_days,
     member,
     positive,
@@ -36,17 +36,22 @@ def chosen_parcels(
 ) -> DataFrame:
     """Parcels listed and dealt in the given periods (default: one year).
 
-    A parcel without a deal date never counts, not even as listed.
+    A parcel without a deal date never counts, not even as listed. The bounds of the
+    area hold for a missing area as for zero; that it is missing or large enough is asked
+    of the stored column, too, where a scan can check it.
     """
     year = last_days(365, as_of)
+    size = within("site_area", min_area, max_area, LAND_AREA_BOUNDS)
+    if "known_area" in land.columns:
+        size &= F.col("known_area").isNull() | within("known_area", min_area, max_area, LAND_AREA_BOUNDS)
     return land.where(
-        between("list_start", listed or year)
-        & between("deal_time", dealt or year)
+        in_period(land, "list_start", listed or year, "list_year")
+        & in_period(land, "deal_time", dealt or year, "deal_year")
         & member("district", districts)
         & choice("parcel_no", parcel_nos)
         & choice("location", locations)
         & choice("land_use", land_uses)
-        & within("site_area", min_area, max_area, LAND_AREA_BOUNDS)
+        & size
     )
 
 

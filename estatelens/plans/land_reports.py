@@ -2,7 +2,9 @@
 
 ``months`` is a pair of month keys, both included. The functions that start
 with a ready-made monthly table take the view of that table, all others take
-the parcel view.
+the parcel view. Over a typed parcel table (``plans.parcels``) months and years
+are asked for as ranges of days, which reach the scan; over parcels with dates
+as texts they are compared as texts.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from estatelens.constants import TEN_THOUSAND
 from estatelens.functions import (
     between,
     count_rows,
+    days_of,
+    in_period,
     mean,
     member,
     positive,
@@ -29,6 +33,33 @@ from estatelens.plans.land_months import floor_price
 from estatelens.schemas import HEADINGS
 
 
+# month column -> (day, folder of years) of a typed parcel table
+_DAYS = {"month": ("deal_time", "deal_year"), "list_month": ("list_start", "list_year")}
+
+
+def _typed(land: DataFrame) -> bool:
+    return any(folder in land.columns for _, folder in _DAYS.values())
+
+
+def _in_months(land: DataFrame, months: tuple[str, str], month: str = "month") -> Column:
+    """The month lies in ``months``."""
+    if not _typed(land):
+        return between(month, months)
+    day, folder = _DAYS[month]
+    return in_period(land, day, days_of(months), folder)
+
+
+def _in_month(land: DataFrame, month) -> Column:
+    """The month of the deal is ``month``, or one of several."""
+    if not _typed(land):
+        return member("month", month)
+    months = [month] if isinstance(month, str) else list(month)
+    if not months:
+        return F.lit(False)
+    span = _in_months(land, (min(months), max(months)))
+    return span if len(months) == 1 else span & member("month", months)
+
+
 # --- report one: months -----------------------------------------------------
 def month_kpis(report: DataFrame, month) -> DataFrame:
     """Count, area (10,000 ㎡) and change (%) of the chosen month.
@@ -78,7 +109,7 @@ def land_res_supply_deal_monthly(report: DataFrame, months: tuple[str, str]) ->
 
 def land_area_count_monthly(land: DataFrame, months: tuple[str, str]) -> DataFrame:
     """Area and number of transferred parcels per month."""
-    dealt = land.where(between("month", months) & positive("deal_price"))
+    dealt = land.where(_in_months(land, months) & positive("deal_price"))
     return ascending(
         dealt.groupBy("month").agg(
             sum0("site_area").alias("site_area"), count_rows().alias("parcels")
@@ -104,7 +135,7 @@ def _residential_proper_deals() -> Column:
 
 def land_res_gfa_far_monthly(land: DataFrame, months: tuple[str, str]) -> DataFrame:
     return _gfa_and_far(
-        land.where(_residential_proper_deals() & between("month", months)), "month"
+        land.where(_residential_proper_deals() & _in_months(land, months)), "month"
     )
 
 
@@ -127,7 +158,12 @@ def land_res_supply_deal_yearly(report: DataFrame, first_year: int = 2018) -> Da
 def _since(land: DataFrame, day: str, first_year: int) -> DataFrame:
     """Rows from ``first_year`` on, with the year as text."""
     year = year_key(day)
-    return land.where(year >= str(first_year)).withColumn("year", year)
+    since = year >= str(first_year)
+    if _typed(land):
+        since = F.col(day) >= F.lit(date(first_year, 1, 1))
+        folder = dict(_DAYS.values())[day]
+        since = since & (F.col(folder) >= first_year) if folder in land.columns else since
+    return land.where(since).withColumn("year", year)
 
 
 def land_gfa_count_yearly(land: DataFrame, first_year: int = 2017) -> DataFrame:
@@ -157,7 +193,7 @@ def _by_district(rows: DataFrame, value: Column) -> DataFrame:
 
 def _commercial_deals(land: DataFrame, month) -> DataFrame:
     return land.where(
-        positive("deal_price") & F.col("is_commercial") & member("month", month)
+        positive("deal_price") & F.col("is_commercial") & _in_month(land, month)
     )
 
 
@@ -185,7 +221,7 @@ def land_region_change(report: DataFrame, regions, month) -> DataFrame:
 
 
 def _commercial_listings(land: DataFrame, months: tuple[str, str]) -> DataFrame:
-    return land.where(F.col("is_commercial") & between("list_month", months))
+    return land.where(F.col("is_commercial") & _in_months(land, months, "list_month"))
 
 
 def land_listed_area_monthly(land: DataFrame, months: tuple[str, str]) -> DataFrame:
@@ -204,7 +240,7 @@ def land_listed_area_by_district(land: DataFrame, months: tuple[str, str]) -> Da
 def _structure(
     land: DataFrame, months: tuple[str, str], proper: bool, uses: str | None, **measures: Column
 ) -> DataFrame:
-    rows = land.where(positive("deal_price") & between("month", months))
+    rows = land.where(positive("deal_price") & _in_months(land, months))
     if uses:
         rows = rows.where(uses)
     if proper:

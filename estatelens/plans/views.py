@@ -30,6 +30,7 @@ from estatelens.functions import (
     short_name,
     slash_to_dash,
 )
+from estatelens.schemas import LAND_DATES
 
 
 def _ratio_product(a: str, b: str, c: str):
@@ -94,12 +95,6 @@ def room_view(room: DataFrame) -> DataFrame:
     })
 
 
-LAND_DATES = (
-    "deal_time", "auction_start", "list_start", "list_end", "deposit_end",
-    "end_date", "terminate_date", "signup_start", "signup_end",
-)
-
-
 def land_view(
     land: DataFrame,
     *,
@@ -112,8 +107,9 @@ def land_view(
 
     ``is_commercial`` means "not a public use" and holds for parcels whose use
     is unknown; the other two flags are then NULL, which no filter lets pass.
-    They are plain comparisons, so filters on them reach the scan. Floor prices and the area label are derived before a missing
-    site area becomes zero.
+    They are plain comparisons, so filters on them reach the scan. Floor prices and the
+    area label are derived before a missing site area becomes zero; ``known_area`` stays
+    as it is stored.
     """
     floor_area = F.col("max_far") * F.col("site_area")
     mu = round_even(F.col("site_area") / SQUARE_METRES_PER_THREE_MU * 3, 1)
@@ -130,6 +126,7 @@ def land_view(
             number_text("site_area"), F.lit("㎡("), number_text(mu), F.lit("亩)")
         ),
         "location": location,
+        "known_area": F.col("site_area"),
         "site_area": F.coalesce("site_area", F.lit(0.0)),
         "is_proper": F.col("district") == city_proper,
         "is_residential": member("land_use", residential_uses),

@@ -75,6 +75,14 @@ LAND = _schema(
     "max_far res_area com_area gfa start_price deal_price:double, "
     "density green detail_url:string"
 )
+# parcels with real dates; stored twice, see plans.parcels
+LAND_DATES = (
+    "deal_time", "auction_start", "list_start", "list_end", "deposit_end",
+    "end_date", "terminate_date", "signup_start", "signup_end",
+)
+PARCELS = T.StructType([
+    T.StructField(f.name, T.DateType() if f.name in LAND_DATES else f.dataType) for f in LAND
+])
 SECOND_HAND = _schema("date region:string, units:long, area:double")
 LAND_MONTH = _schema("date:string, count:long, area change:double")
 LAND_RATIO_MONTH = _schema("date:string, supply_deal_ratio:double")
@@ -268,6 +276,9 @@ SCHEMAS: dict[str, T.StructType] = {
     "people": PEOPLE,
 }
 
+# tables that only this library writes come on top
+STORED: dict[str, T.StructType] = SCHEMAS | {"parcels_by_deal": PARCELS, "parcels_by_listing": PARCELS}
+
 # --- fixed values: column headings of the six report tables -----------------
 HEADINGS: dict[str, dict[str, str]] = {
     "land_query_table": {

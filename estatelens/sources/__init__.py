@@ -1,6 +1,7 @@
 """Getting tables in and out."""
 
 from estatelens.sources.readers import (
+    LOAD_ORDER,
     Partitioning,
     conform,
     drop_non_finite,
@@ -9,6 +10,7 @@ from estatelens.sources.readers import (
     read_jdbc,
     read_parquet,
     register_views,
+    with_load_order,
 )
 from estatelens.sources.sinks import (
     WorkingTables,
@@ -19,10 +21,12 @@ from estatelens.sources.sinks import (
     write_jdbc,
     write_table,
 )
+from estatelens.sources.splitting import quantiles, range_predicates
+from estatelens.sources.versions import current
 
 __all__ = [
-    "Partitioning", "WorkingTables", "conform", "drop_non_finite",
-    "jdbc_options", "jdbc_write_options", "normalise_names", "read_jdbc", "read_parquet",
-    "register_views", "typed", "with_headings", "with_units",
+    "LOAD_ORDER", "Partitioning", "WorkingTables", "conform", "current", "drop_non_finite",
+    "jdbc_options", "jdbc_write_options", "normalise_names", "quantiles", "range_predicates",
+    "read_jdbc", "read_parquet", "register_views", "typed", "with_headings", "with_load_order", "with_units",
     "write_jdbc", "write_table",
 ]

@@ -9,13 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from estatelens.functions import round_even, with_unit
-from estatelens.schemas import FIGURES, HEADINGS, SCHEMAS, SOURCE_TABLES
+from estatelens.functions import finite, round_even, with_unit
+from estatelens.schemas import FIGURES, HEADINGS, SCHEMAS, SOURCE_TABLES, STORED
+from estatelens.sources.readers import FINITE
+from estatelens.sources.versions import drop_others, folder_of, new_version, pointed, publish, remove
 
 
 def _to(df: DataFrame, field: T.StructField) -> Column:
     have, want = df.schema[field.name].dataType, field.dataType
     value = F.col(field.name)
+    if isinstance(want, (T.DoubleType, T.FloatType)):
+        known = have == want and df.schema[field.name].metadata.get("finite")
+        return value if known else finite(value.cast(want)).alias(field.name, metadata=FINITE)
     if have == want:
         return value
     if isinstance(want, T.IntegralType) and isinstance(have, (T.DoubleType, T.DecimalType)):
@@ -27,9 +32,10 @@ def typed(df: DataFrame, table: str) -> DataFrame:
     """The columns of ``table`` in their stored types, in order.
 
     Counts are rounded, not cut. A value that does not fit its type is an
-    error rather than a silent NULL.
+    error rather than a silent NULL. NaN and infinities become NULL, and the
+    columns are marked as free of them, so that readers need not look.
     """
-    return df.select(*(_to(df, f) for f in SCHEMAS[table]))
+    return df.select(*(_to(df, f) for f in STORED[table]))
 
 
 def write_table(
@@ -46,24 +52,29 @@ def write_table(
     a directory with most of the rows is written by many tasks. ``sort_by``
     sorts inside each file, so that filters on those columns skip row groups.
 
-    The new table is written beside the old one and takes its place when it is
-    complete, so a failed run leaves the old one as it was.
+    The new version is written beside the old one, and readers see it when it is
+    complete: whenever a run dies, the table is there, old or new (see ``versions``).
     """
+    spark = df.sparkSession
     out = typed(df, table)
-    path = f"{root}/{table}"
+    path, version = f"{root}/{table}", new_version()
     folders = list(partition_by or {})
     if folders:
         out = out.withColumns(dict(partition_by)).hint("rebalance", *folders)
     if folders or sort_by:
         out = out.sortWithinPartitions(*folders, *sort_by)
-    beside = f"{root}/_new-{table}-{uuid4().hex}"
+    before = pointed(spark, path)
     try:
-        out.write.partitionBy(*folders).parquet(beside)
-        _swap(df.sparkSession, beside, path)
-    finally:
-        _remove(df.sparkSession, beside)
+        out.write.partitionBy(*folders).parquet(folder_of(path, version))
+        publish(spark, path, version, out.schema)
+    except BaseException:
+        if pointed(spark, path) != version:
+            remove(spark, f"{path}/{version}")
+        raise
+    if before:
+        drop_others(spark, path, before, version)
     # with its schema, as an empty table leaves no file to infer it from
-    return df.sparkSession.read.schema(out.schema).parquet(path)
+    return spark.read.schema(out.schema).parquet(folder_of(path, version))
 
 
 # column types of database tables; a value that doesn't fit one is an error
@@ -141,23 +152,4 @@ class WorkingTables:
         return self
 
     def __exit__(self, *failure) -> None:
-        _remove(self.spark, self.folder)
-
-
-def _files(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    target, files = _files(spark, path)
-    files.delete(target, True)
-
-
-def _swap(spark: SparkSession, new: str, old: str) -> None:
-    """Put the folder ``new`` in the place of ``old``."""
-    _remove(spark, old)
-    source, files = _files(spark, new)
-    target, _ = _files(spark, old)
-    if not files.rename(source, target):
-        raise OSError(f"{new} could not be renamed to {old}")
+        remove(self.spark, self.folder)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from estatelens import schemas
 from estatelens.plans import catalog, deals, pickers, views
+from estatelens.sources import sinks, versions
 from estatelens.sources import (
     Partitioning,
     WorkingTables,
@@ -156,6 +157,85 @@ def test_failed_write_leaves_the_old_table(table, tmp_path):
     assert rows(again) == [("p", "new")]
 
 
+def promo(table, name):
+    return table("permit string, promo_name string", ("p", name))
+
+
+@pytest.mark.parametrize("step", ["publish", "switch", "drop_others"])
+def test_a_run_that_dies_leaves_a_whole_table(spark, table, tmp_path, monkeypatch, step):
+    """Whatever step of the replacement fails, readers find the old table, or the new one."""
+    root = str(tmp_path)
+    for name in ("older", "old"):
+        write_table(promo(table, name), root, "promo")
+    opened = read_parquet(spark, root, "promo")
+
+    def die(*_):
+        raise OSError("killed")
+
+    monkeypatch.setattr(versions if step == "switch" else sinks, step, die)
+    with pytest.raises(OSError, match="killed"):
+        write_table(promo(table, "new"), root, "promo")
+    monkeypatch.undo()
+    left = "new" if step == "drop_others" else "old"
+    assert rows(read_parquet(spark, root, "promo")) == [("p", left)]
+    assert rows(opened) == [("p", "old")]
+    assert rows(write_table(promo(table, "newest"), root, "promo")) == [("p", "newest")]
+    assert len(list((tmp_path / "promo").glob("_v-*"))) == 2  # the current one and the one before
+
+
+def test_leftovers_of_a_killed_run_are_not_read_and_go(spark, table, tmp_path):
+    """A process that is killed cleans nothing up."""
+    root = str(tmp_path)
+    write_table(promo(table, "old"), root, "promo")
+    promo(table, "torn").write.parquet(f"{root}/promo/_v-dead/data")
+    (tmp_path / "promo" / "_current-dead").write_text("_v-dead")
+    assert rows(read_parquet(spark, root, "promo")) == [("p", "old")]
+    write_table(promo(table, "new"), root, "promo")
+    assert rows(read_parquet(spark, root, "promo")) == [("p", "new")]
+    assert {p.name for p in (tmp_path / "promo").iterdir() if "dead" in p.name} == set()
+
+
+def test_a_table_without_versions_is_read_and_replaced(spark, table, tmp_path):
+    root = str(tmp_path)
+    promo(table, "plain").write.parquet(f"{root}/promo")
+    opened = read_parquet(spark, root, "promo")
+    assert rows(opened) == [("p", "plain")]
+    write_table(promo(table, "new"), root, "promo")
+    assert rows(read_parquet(spark, root, "promo")) == [("p", "new")]
+    assert rows(opened) == [("p", "plain")]  # its files stay until the next replacement
+    write_table(promo(table, "newer"), root, "promo")
+    assert not list((tmp_path / "promo").glob("part-*"))
+
+
+def odd_areas(table):
+    return table("date string, region string, units long, area double",
+                 ("2019-01", "r", 1, float("nan")), ("2019-01", "s", 1, float("-inf")), ("2019-01", "t", 1, 2.0),
+                 ("2019-01", "u", 1, -2.0), ("2019-01", "v", 1, None), ("2019-01", "w", 1, float("inf")))
+
+
+def test_doubles_written_here_stay_bare(spark, table, tmp_path):
+    """A stored table is marked as free of NaN, so a filter on its doubles reaches the scan."""
+    write_table(odd_areas(table), str(tmp_path), "second_hand")
+    df = read_parquet(spark, str(tmp_path), "second_hand")
+    above, below = df.where(F.col("area") > 0), df.where(~(F.col("area") > 0))
+    assert values(above.select("region")) == ["t"] and values(below.select("region")) == ["u"]
+    assert sorted(map(str, values(df.select("area")))) == ["-2.0", "2.0", "None", "None", "None", "None"]
+    assert "GreaterThan(area,0.0)" in planned(above) and "LessThanOrEqual(area,0.0)" in planned(below)
+    again = write_table(df, str(tmp_path), "second_hand")  # what is known stays known
+    assert "CASE" not in planned(again) and again.schema["area"].metadata
+
+
+def test_ranges_reach_tables_that_may_hold_nan(spark, table, tmp_path):
+    odd_areas(table).write.parquet(str(tmp_path / "second_hand"))
+    read = partial(read_parquet, spark, str(tmp_path), "second_hand")
+    for span, regions, pushed in (
+        ((-5, None), ["t", "u"], "GreaterThanOrEqual(area,-5.0)"), ((None, 1.5), ["u"], "LessThanOrEqual(area,1.5)"),
+        ((2, 2), ["t"], "LessThanOrEqual(area,2.0)"), ((None, None), list("rstuvw"), "[]"),
+    ):
+        got = read(ranges={"area": span})
+        assert sorted(values(got.select("region"))) == regions and pushed in planned(got)
+
+
 def test_register_views(spark, table):
     register_views({"m2_table": table("v int", (1,))}, prefix="test_")
     assert rows(spark.sql("SELECT v FROM test_m2_table")) == [(1,)]
