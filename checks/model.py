@@ -158,10 +158,14 @@ class Model:
             self.sale_daily, self.supply_raw, self.promo, self.room_price, self.project_info
         )
 
+    @cached_property
+    def promo_names(self) -> etl.PromoNames:
+        return etl.PromoNames.counted(self.promo)
+
     # --- outputs of the pipeline --------------------------------------------
     @cached_property
     def deal_list(self) -> DataFrame:
-        return etl.deal_list(self.inputs, RULES)
+        return etl.deal_list(self.inputs, RULES, self.promo_names)
 
     @cached_property
     def supply_last(self) -> DataFrame:
@@ -169,11 +173,11 @@ class Model:
 
     @cached_property
     def history_supply(self) -> DataFrame:
-        return etl.history_supply(self.supply_last, self.project_info, self.promo, RULES)
+        return etl.history_supply(self.supply_last, self.project_info, self.promo_names, RULES)
 
     @cached_property
     def sold(self) -> DataFrame:
-        return etl.sales_by_band(etl.banded_sales(self.sale_daily, self.promo, RULES))
+        return etl.weighted_sales_by_band(self.sale_daily, self.promo_names, RULES)
 
     @cached_property
     def supplied(self) -> DataFrame:

@@ -35,7 +35,7 @@ from estatelens.operators import (
     with_category,
     with_share,
 )
-from estatelens.plans import etl, macro, stock
+from estatelens.plans import etl, macro, pickers, stock
 from estatelens.schemas import HISTORY_SUPPLY
 
 AS_OF = date(1999, 6, 15)
@@ -369,6 +369,47 @@ def _(m: Model):
     return first
 
 
+# picker -> table, column and condition on its values in SQL
+LISTS = {
+    "land_district": ("land", "district"), "land_parcel_no": ("land", "parcel_no"),
+    "land_location": ("land", "location"), "land_use": ("land", "land_use"),
+    "land_deal_month": ("land", "month", "> (SELECT min(month) FROM land)"),
+    "land_list_month": ("land", "list_month", "> (SELECT min(list_month) FROM land)"),
+    "land_supply_month": ("land_supply_month", "month"),
+    "land_district_month": ("land_district_amount", "month", "IS NOT NULL"),
+    "land_short_region": ("land_district_amount", "substring(district, 1, 2)"),
+    "room_promo_name": ("rooms", "promo_name"), "room_building": ("rooms", "building"),
+    "room_status": ("rooms", "status"), "deal_region": ("deal_view", "region"),
+    "deal_category": ("deal_view", "category"), "supply_region": ("supply_view", "region"),
+    "supply_promo_name": ("supply_view", "promo_name"), "stock_region": ("stock_view", "region"),
+    "stock_band": ("stock_view", "band"), "stock_year": ("stock_view", "year", "IS NOT NULL"),
+    "ratio_region": ("region_band_ratio", "region"), "ratio_band": ("region_band_ratio", "band"),
+    "second_hand_month": ("second_hand", "month"), "second_hand_region": ("second_hand", "region"),
+    "income_region": ("income_detail", "region"), "people_region": ("people", "region"),
+}
+_ALL = ("land_short_region", "stock_band", "ratio_band", "second_hand_region")
+
+
+def _chosen(name: str, column: str, table: str) -> str:
+    if name in _ALL:
+        return "TRUE"
+    return f"{column} = (SELECT max({column}) FROM {table})" if name in ("stock_year", "second_hand_month") else "FALSE"
+
+
+@check("picker_options", "picker value:s chosen:b", " UNION ALL ".join(
+    f"""SELECT DISTINCT '{name}' AS picker, CAST({column} AS VARCHAR) AS value,
+        coalesce({_chosen(name, column, table)}, FALSE) AS chosen
+        FROM {table} {''.join(f'WHERE {column} {c}' for c in condition)}"""
+    for name, (table, column, *condition) in LISTS.items()))
+def _(m: Model):
+    return pickers.all_options({
+        "land": m.land, "rooms": m.rooms, "deals": m.deals, "supply": m.supply, "stock": m.stock,
+        "band_ratios": m.band_ratio, "second_hand": m.second_hand, "income_detail": m.income_detail,
+        "people": m.people, "land_supply_month": m.land_table("land_supply_month"),
+        "land_district_amount": m.land_table("land_district_amount"),
+    })
+
+
 PIVOTED = {f"{i:02d} NATION_{i}": f"R{i}" for i in range(25)}
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +26,13 @@ def sorted_values(
 
 def newest_value(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.max(name).alias(name))
+
+
+def domains(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """(name, value): the distinct values of several columns, as texts, in one pass over ``df``.
+
+    Each row becomes one row for each column, and tasks drop what they have seen before
+    anything is shuffled.
+    """
+    each = [F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for n in names]
+    return df.select(F.explode(F.array(*each)).alias("v")).select("v.*").distinct()

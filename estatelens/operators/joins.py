@@ -1,8 +1,8 @@
 """Joins.
 
-No side is forced to be broadcast: Spark compares each side with
-``spark.sql.autoBroadcastJoinThreshold``, at planning time and again with the
-real size at run time, and otherwise sorts and merges.
+Spark compares each side with ``spark.sql.autoBroadcastJoinThreshold``, at planning
+time and again with the real size at run time, and otherwise sorts and merges. A side
+is broadcast by hint only after its rows were counted, see ``broadcast_if_small``.
 """
 
 from __future__ import annotations
@@ -33,6 +33,20 @@ def lookup(left: DataFrame, right: DataFrame, on: Mapping[str, str]) -> DataFram
     return left.join(right, reduce(lambda a, b: a & b, match), "left").drop(*keys.values())
 
 
+#: With a few short columns, as promotion names have, this is a few dozen MB at most.
+SMALL_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows; as it is otherwise.
+
+    Counts at once, and no further than needed. For narrow tables that a large one is
+    joined with: the large one then isn't shuffled. Beyond the bound the join sorts and
+    merges, and a hot key is split.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def plain_keys(*names: str) -> dict[str, Column]:
     """Text key columns as columns without NULL, equal where the keys are.
 

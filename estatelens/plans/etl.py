@@ -10,7 +10,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ from estatelens.constants import (
 )
 from estatelens.functions import area_band, ratio, round_even, strip_text, sum0
 from estatelens.operators import (
+    broadcast_if_small,
     category,
     keep_last,
     lookup,
@@ -33,8 +34,9 @@ from estatelens.operators import (
     plain_keys,
     rollup_present_keys,
 )
+from estatelens.operators.joins import SMALL_ROWS
 from estatelens.schemas import DEAL_LIST
-from estatelens.sources import WorkingTables, write_table
+from estatelens.sources import LOAD_ORDER, WorkingTables, read_parquet, write_table
 
 PERMIT = ("permit", "record_name")
 INFO_COLUMNS = ("delivery", "manager", "land_area", "volume", "far", "green", "presale")
@@ -49,10 +51,15 @@ class Rules:
     band_edges: Sequence[float] = BAND_EDGES
     band_labels: Sequence[str] = BAND_LABELS
     name_suffix: str = NAME_SUFFIX
-    # which of several supply or info rows of one permit is the last one
+    # which of several supply or info rows of one permit is the last one, in tables that
+    # were read without their load order
     supply_order: Sequence[str] = ("open_date", "region")
     info_order: Sequence[str] = ("delivery",)
 
+    def last_by(self, df: DataFrame, without: Sequence[str]) -> Sequence[str]:
+        """The columns that tell the last row: how the rows were loaded, where that is known."""
+        return LOAD_ORDER if set(LOAD_ORDER) <= set(df.columns) else without
+
     def band(self, area: str, units: str) -> Column:
         return area_band(area, units, self.band_edges, self.band_labels)
 
@@ -67,6 +74,38 @@ class Inputs:
     room_price: DataFrame
     project_info: DataFrame
 
+    @classmethod
+    def stored(cls, spark: SparkSession, root: str) -> Inputs:
+        """The tables under ``root``; the last row of a permit is the one that was loaded last."""
+        ordered = ("supply_raw", "project_info")
+        return cls(**{
+            f.name: read_parquet(spark, root, f.name, load_order=f.name in ordered) for f in fields(cls)
+        })
+
+
+@dataclass(frozen=True)
+class PromoNames:
+    """Promotion names by permit, counted beforehand, so that sales need not be shuffled for them.
+
+    ``names`` and ``repeats`` (permits with several names, and how many) carry a broadcast
+    hint where they are small. ``fan_out`` says whether there are any such permits and
+    ``few`` whether they are few.
+    """
+
+    names: DataFrame
+    repeats: DataFrame
+    fan_out: bool
+    few: bool
+
+    @classmethod
+    def counted(cls, promo: DataFrame, rows: int = SMALL_ROWS) -> PromoNames:
+        repeats = promo.groupBy("permit").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+        n = repeats.limit(rows + 1).count()
+        return cls(
+            broadcast_if_small(promo.select("permit", "promo_name"), rows),
+            F.broadcast(repeats) if n <= rows else repeats, n > 0, n <= rows,
+        )
+
 
 # --- sales side -------------------------------------------------------------
 def sales_with_category(sale_daily: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -97,9 +136,10 @@ def with_mean_price(sales: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
-def with_promo_name(df: DataFrame, promo: DataFrame) -> DataFrame:
+def with_promo_name(df: DataFrame, promo: DataFrame | PromoNames) -> DataFrame:
     """Rows with the promotion name; a permit with two names gives two rows."""
-    return lookup(df, promo.select("permit", "promo_name"), {"permit": "permit"})
+    names = promo.names if isinstance(promo, PromoNames) else promo.select("permit", "promo_name")
+    return lookup(df, names, {"permit": "permit"})
 
 
 def banded(df: DataFrame, units: str, rules: Rules) -> DataFrame:
@@ -117,10 +157,13 @@ def banded_sales(sale_daily: DataFrame, promo: DataFrame, rules: Rules = Rules()
     return with_promo_name(sales, promo)
 
 
-def deal_list(inputs: Inputs, rules: Rules = Rules()) -> DataFrame:
+def deal_list(
+    inputs: Inputs, rules: Rules = Rules(), promo: PromoNames | None = None
+) -> DataFrame:
+    """``promo`` stands for the input's promotion names where they were counted before."""
     sales = banded(sales_with_category(inputs.sale_daily, rules), "units", rules)
     priced = with_mean_price(sales, mean_room_price(inputs.room_price, rules))
-    return with_promo_name(priced, inputs.promo).select(
+    return with_promo_name(priced, promo or inputs.promo).select(
         "region",
         "permit",
         strip_text("record_name", rules.name_suffix).alias("record_name"),
@@ -136,7 +179,8 @@ def deal_list(inputs: Inputs, rules: Rules = Rules()) -> DataFrame:
 
 # --- supply side ------------------------------------------------------------
 def latest_supply(supply_raw: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    return keep_last(supply_raw, PERMIT, rules.supply_order)
+    order = rules.last_by(supply_raw, rules.supply_order)
+    return keep_last(supply_raw, PERMIT, order).drop(*LOAD_ORDER)
 
 
 def with_project_info(
@@ -150,7 +194,8 @@ def with_project_info(
     info is unique, so that it drops the join for readers who want no info.
     """
     keys = plain_keys(*PERMIT)
-    last = F.max_by(F.struct(*INFO_COLUMNS), F.struct(*dict.fromkeys([*rules.info_order, *INFO_COLUMNS]))).alias("__info")
+    order = dict.fromkeys([*rules.last_by(project_info, rules.info_order), *INFO_COLUMNS])
+    last = F.max_by(F.struct(*INFO_COLUMNS), F.struct(*order)).alias("__info")
     info = project_info.groupBy(*(k.alias(name) for name, k in keys.items())).agg(last)
     return supply.withColumns(keys).join(info, list(keys), "left").select(
         *(supply[c] for c in supply.columns), "__info.*"
@@ -158,7 +203,7 @@ def with_project_info(
 
 
 def history_supply(
-    supply: DataFrame, project_info: DataFrame, promo: DataFrame, rules: Rules = Rules()
+    supply: DataFrame, project_info: DataFrame, promo: DataFrame | PromoNames, rules: Rules = Rules()
 ) -> DataFrame:
     """``supply`` is the result of :func:`latest_supply`."""
     described = with_project_info(supply, project_info, rules)
@@ -178,6 +223,27 @@ def sales_by_band(sales: DataFrame) -> DataFrame:
     return rollup_present_keys(sales, ["date", "region", "band"], ["units", "area"])
 
 
+def weighted_sales_by_band(
+    sale_daily: DataFrame, promo: PromoNames, rules: Rules = Rules()
+) -> DataFrame:
+    """As the roll-up of :func:`banded_sales`, without a shuffle of single sales.
+
+    A sale counts as often as its permit has promotion names. Where no permit has several
+    there is nothing to join. A few such permits are broadcast; beyond that sales are first
+    summed up by permit, and the sums are joined.
+    """
+    keys, measures = ["date", "region", "band"], ["units", "area"]
+    sales = banded(sale_daily, "units", rules).select("permit", *keys, *measures)
+    if not promo.fan_out:
+        return rollup_present_keys(sales, keys, measures)
+    if not promo.few:
+        sales = sales.dropna(subset=keys).groupBy("permit", *keys).agg(*(sum0(m).alias(m) for m in measures))
+    counted = lookup(sales, promo.repeats, {"permit": "permit"})
+    # repeated rather than multiplied, which would cost decimals their last digits
+    again = F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)).cast("int")))
+    return rollup_present_keys(counted.select(*keys, *measures, again.alias("time")), keys, measures)
+
+
 def supply_by_band(supply: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Supply by opening date, region and band, including rows without a band."""
     rows = supply.dropna(subset=["open_date", "region"]).withColumn(
@@ -224,13 +290,14 @@ def region_band_stock(sold: DataFrame, supplied: DataFrame) -> DataFrame:
 
 
 def build(inputs: Inputs, rules: Rules = Rules()) -> dict[str, DataFrame]:
-    """All five outputs as lazy DataFrames."""
+    """All five outputs as lazy DataFrames; only promotion names are counted at once."""
+    promo = PromoNames.counted(inputs.promo)
     supply = latest_supply(inputs.supply_raw, rules)
-    sold = sales_by_band(banded_sales(inputs.sale_daily, inputs.promo, rules))
+    sold = weighted_sales_by_band(inputs.sale_daily, promo, rules)
     supplied = supply_by_band(supply, rules)
     return {
-        "deal_list": deal_list(inputs, rules),
-        "history_supply": history_supply(supply, inputs.project_info, inputs.promo, rules),
+        "deal_list": deal_list(inputs, rules, promo),
+        "history_supply": history_supply(supply, inputs.project_info, promo, rules),
         "region_ratio": region_ratio(sold, supplied),
         "region_band_ratio": region_band_ratio(sold, supplied),
         "region_band_stock": region_band_stock(sold, supplied),
@@ -242,19 +309,21 @@ def run(
 ) -> dict[str, DataFrame]:
     """Compute and replace the five output tables under ``root``.
 
-    Every input is read once. Shared intermediate results are written to shared
-    storage, so losing executors costs no recomputation: the deal list is rolled
-    up from its own written table, and the supply side and both roll-ups are
-    working tables, which go at the end, also after a failure.
+    Every input is read once, but for the promotion names, which are counted first.
+    Shared intermediate results are written to shared storage, so losing executors
+    costs no recomputation: the deal list is rolled up from its own written table,
+    and the supply side and both roll-ups are working tables, which go at the end,
+    also after a failure.
     """
+    promo = PromoNames.counted(inputs.promo)
     with WorkingTables(spark, f"{root}/_work") as work:
         deals = write_table(
-            deal_list(inputs, rules), root, "deal_list", {"year": F.year("date")}, ["date"]
+            deal_list(inputs, rules, promo), root, "deal_list", {"year": F.year("date")}, ["date"]
         )
 
         supply = work.keep(latest_supply(inputs.supply_raw, rules), "supply")
         history = write_table(
-            history_supply(supply, inputs.project_info, inputs.promo, rules),
+            history_supply(supply, inputs.project_info, promo, rules),
             root, "history_supply", {"year": F.year("open_date")}, ["open_date"],
         )
 

@@ -28,7 +28,7 @@ from estatelens.functions import (
     to_number,
     year_key,
 )
-from estatelens.operators import ascending, descending, with_share
+from estatelens.operators import ascending, descending, spread, with_share
 from estatelens.plans.land_months import floor_price
 from estatelens.schemas import HEADINGS
 
@@ -286,7 +286,8 @@ def land_open_listings(land: DataFrame, as_of: date | None = None, days: int = 1
     """
     oldest = F.date_sub(F.lit(as_of or date.today()), days)
     still_open = ~positive("deal_price") & (F.col("list_end") >= oldest)
-    return land.where(still_open).select(*HEADINGS["land_open_listings"]).orderBy(
+    return spread(
+        land.where(still_open).select(*HEADINGS["land_open_listings"]),
         F.col("list_start").desc_nulls_last(),
         F.col("list_end").desc_nulls_last(),
         F.col("parcel_no").asc_nulls_last(),

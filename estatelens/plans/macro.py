@@ -5,7 +5,7 @@ The tables are short series: one row per month or year, some per region.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estatelens.constants import TEN_THOUSAND, TOTAL_REGIONS
@@ -17,6 +17,7 @@ from estatelens.operators import (
     descending,
     latest_row,
     newest_then_ascending,
+    with_share,
 )
 
 
@@ -117,16 +118,19 @@ def gdp_kpis(city: DataFrame, year: int = 2017) -> DataFrame:
 
 
 def latest_year(df: DataFrame, day: str = "date") -> DataFrame:
-    """Rows of the newest year in the whole table."""
-    year = F.year(day)
-    return df.where(year == df.select(F.max(year)).scalar())
+    """Rows of the newest year in the whole table.
+
+    In one pass: each task keeps the rows of its own newest year, and only those meet.
+    """
+    newest = Window.orderBy(F.year(day).desc())
+    ranked = df.where(F.col(day).isNotNull()).withColumn("__newest", F.rank().over(newest))
+    return ranked.where(F.col("__newest") == 1).drop("__newest")
 
 
 def _by_region_latest(people: DataFrame, value: str, totals) -> DataFrame:
     rows = latest_year(people).where(not_member("region", totals))
     rows = rows.select(short_name("region").alias("short_region"), value)
-    share = ratio(F.col(value), rows.select(F.sum(value)).scalar())
-    return descending(rows.withColumn("share", share), value, "short_region")
+    return descending(with_share(rows, value), value, "short_region")
 
 
 def population_by_region(people: DataFrame, totals=TOTAL_REGIONS) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from estatelens.constants import HOME_AREA_BOUNDS, SOLD_STATUSES, TEN_THOUSAND
 from estatelens.functions import choice, count_rows, member, round_even, sum0, within
-from estatelens.operators import ascending
+from estatelens.operators import spread
 from estatelens.schemas import HEADINGS
 
 
@@ -35,4 +36,5 @@ def room_table(rooms: DataFrame, *, statuses=None, **choices) -> DataFrame:
     rows = chosen_rooms(rooms, **choices).where(choice("status", statuses))
     names = list(HEADINGS["room_table"])
     ties = [n for n in names if n not in ("building", "room_no")]
-    return ascending(rows.select(*names), "building", "room_no", *ties)
+    order = (F.col(n).asc_nulls_last() for n in ("building", "room_no", *ties))
+    return spread(rows.select(*names), *order)

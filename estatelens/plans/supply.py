@@ -19,7 +19,7 @@ from estatelens.functions import (
     sum_strict,
     within,
 )
-from estatelens.operators import descending, side_by_side
+from estatelens.operators import side_by_side, spread
 from estatelens.schemas import HEADINGS
 
 
@@ -58,7 +58,8 @@ def supply_table(supply: DataFrame, **choices) -> DataFrame:
     rows = chosen_supply(supply, **choices).where(positive("for_sale"))
     rows = rows.withColumn("on_sale_area", F.col("on_sale_area") * TEN_THOUSAND)
     names = list(HEADINGS["supply_table"])
-    return descending(rows.select(*names), "for_sale", *(n for n in names if n != "for_sale"))
+    ties = (F.col(n).asc_nulls_last() for n in names if n != "for_sale")
+    return spread(rows.select(*names), F.col("for_sale").desc_nulls_last(), *ties)
 
 
 def supply_sale_kpis(

@@ -20,7 +20,7 @@ from estatelens.functions import (
     sum_strict,
     weighted_mean,
 )
-from estatelens.operators import ascending, change_from_previous, descending, with_share
+from estatelens.operators import ascending, change_from_previous, descending, spread, with_share
 from estatelens.schemas import HEADINGS
 
 
@@ -82,4 +82,5 @@ def new_openings(projects: DataFrame, as_of: date | None = None) -> DataFrame:
         "area",
     )
     names = list(HEADINGS["new_openings"])
-    return descending(rows, "open_date", *(n for n in names if n != "open_date"))
+    ties = (F.col(n).asc_nulls_last() for n in names if n != "open_date")
+    return spread(rows, F.col("open_date").desc_nulls_last(), *ties)

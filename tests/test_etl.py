@@ -1,5 +1,6 @@
 """The pipeline on small tables, against a plain row-by-row computation."""
 
+import os
 import random
 from collections import defaultdict
 from datetime import date, timedelta
@@ -12,7 +13,7 @@ from conftest import planned
 from estatelens import schemas
 from estatelens.constants import BAND_LABELS, COMMERCIAL, NAME_SUFFIX, OTHER, RESIDENTIAL
 from estatelens.plans import catalog, deals, etl, supply, volume_price
-from estatelens.sources import read_parquet
+from estatelens.sources import LOAD_ORDER, read_parquet
 
 DAY = date(2019, 1, 1)
 
@@ -301,3 +302,81 @@ def test_project_info_that_nobody_reads_is_not_joined(data):
     _, inputs = data
     joined = etl.with_project_info(inputs.supply_raw, inputs.project_info)
     assert "Join" not in planned(joined.select("permit", "total_units"))
+
+
+def test_weighted_rollup_equals_the_joined_one(data):
+    """No repeated permits, a few, or too many of them to broadcast: the same sums, digit by digit."""
+    _, inputs = data
+    for promo in (inputs.promo, inputs.promo.where("permit <> 'p1'"), inputs.promo.where("false"),
+                  inputs.promo.unionAll(inputs.promo)):
+        wanted = text(etl.sales_by_band(etl.banded_sales(inputs.sale_daily, promo)).collect())
+        for rows in (0, 2, 1000):
+            counted = etl.PromoNames.counted(promo, rows)
+            got = etl.weighted_sales_by_band(inputs.sale_daily, counted)
+            assert got.columns == ["date", "region", "band", "units", "area"]
+            assert text(got.collect()) == wanted
+
+
+def test_single_sales_are_not_shuffled_for_promotion_names(data, conf):
+    """One exchange, of sums; the deal list shuffles sales once, for their prices."""
+    conf(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1")
+    _, inputs = data
+    counted = etl.PromoNames.counted(inputs.promo)
+    plan = planned(etl.weighted_sales_by_band(inputs.sale_daily, counted))
+    before_exchange = plan.split("Exchange hashpartitioning(date")[1]
+    assert plan.count("Exchange hashpartitioning") == 2  # sums of sales, and counts of the promotion names
+    assert "SortMergeJoin" not in plan and "partial_sum" in before_exchange
+    few = planned(etl.weighted_sales_by_band(inputs.sale_daily, etl.PromoNames.counted(inputs.promo, 0)))
+    assert few.index("SortMergeJoin") < few.rindex("partial_sum")  # sums by permit are joined, not sales
+    joined = planned(etl.deal_list(inputs))
+    once = planned(etl.deal_list(inputs, promo=counted))
+    assert joined.count("SortMergeJoin") == 2 and once.count("SortMergeJoin") == 1
+    assert joined.count("Exchange hashpartitioning") - once.count("Exchange hashpartitioning") == 2
+
+
+def test_hot_permit_without_broadcast(spark, conf, data):
+    """Too many permits with several names: sums of a hot permit are joined, and split if need be."""
+    conf(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1")
+    _, inputs = data
+    sale = inputs.sale_daily
+    many = sale.unionAll(sale.where("permit = 'hot'")).unionAll(sale.where("permit = 'hot'"))
+    promo = inputs.promo.unionAll(inputs.promo.where("permit = 'hot'"))
+    wanted = etl.sales_by_band(etl.banded_sales(many, promo))
+    got = etl.weighted_sales_by_band(many, etl.PromoNames.counted(promo, 0))
+    assert text(got.collect()) == text(wanted.collect())
+
+
+def test_the_row_that_was_loaded_last_counts(spark, tmp_path):
+    """Two loads: whatever a row says, the later load wins, and in one file the later row."""
+    def write(name, rows, load, modified):
+        folder = tmp_path / name
+        spark.createDataFrame(rows, schemas.SCHEMAS[name]).coalesce(1).write.mode("append").parquet(str(folder))
+        for f in folder.glob("part-*"):
+            if f.name not in load:
+                os.utime(f, (modified, modified))
+                load.add(f.name)
+
+    def supply_row(permit, opened, units):
+        return (permit, "n", "r", opened, Decimal("100"), units, 0, 0, None, None)
+
+    def info_row(permit, delivery):
+        return (permit, "n", delivery, "m", None, "v", "f", "g", "s")
+
+    loads = {"supply_raw": set(), "project_info": set()}
+    # loaded first: later days and greater texts than the load that follows
+    write("supply_raw", [supply_row("p", date(2020, 1, 1), 9), supply_row("q", date(2020, 1, 1), 9)], loads["supply_raw"], 1_000_000)
+    write("project_info", [info_row("p", "2029"), info_row("q", "2021"), info_row("q", "2020")], loads["project_info"], 1_000_000)
+    write("supply_raw", [supply_row("p", date(2019, 1, 1), 5), supply_row("p", date(2018, 1, 1), 4)], loads["supply_raw"], 2_000_000)
+    write("project_info", [info_row("p", "2018"), info_row("p", None)], loads["project_info"], 2_000_000)
+    for name in ("sale_daily", "promo", "room_price"):
+        spark.createDataFrame([], schemas.SCHEMAS[name]).write.parquet(str(tmp_path / name))
+    inputs = etl.Inputs.stored(spark, str(tmp_path))
+    assert set(LOAD_ORDER) <= set(inputs.supply_raw.columns)
+    last = etl.latest_supply(inputs.supply_raw)
+    assert last.columns == schemas.SUPPLY_RAW.names
+    assert sorted((r.permit, r.total_units) for r in last.collect()) == [("p", 4), ("q", 9)]
+    found = etl.run(spark, inputs, str(tmp_path / "out"))["history_supply"].collect()
+    assert sorted((r.permit, r.total_units, r.delivery) for r in found) == [("p", 4, None), ("q", 9, "2020")]
+    # without the load order the declared columns decide, as before
+    plain = etl.latest_supply(read_parquet(spark, str(tmp_path), "supply_raw"))
+    assert sorted((r.permit, r.total_units) for r in plain.collect()) == [("p", 9), ("q", 9)]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from estatelens import operators as op
 from estatelens.constants import OTHER, RESIDENTIAL, ROOM_CATEGORY, SALE_CATEGORY
+from estatelens.plans import macro
 
 
 def test_category_defaults_differ(table):
@@ -164,3 +165,43 @@ def test_pivot(table):
     df = table("m string, r string, v int", ("1", "a", 1), ("1", "b", 2), ("2", "a", 3))
     got = op.pivot_series(df, "m", "r", ["a", "b"], F.sum("v")).orderBy("m")
     assert rows(got) == [("1", 1, 2), ("2", 3, None)]
+
+
+def test_rows_that_are_equal_in_all_columns_spread_over_ranges(spark, conf):
+    """Half the rows are the same: no range gets more than twice the median."""
+    conf(spark__sql__adaptive__enabled="false", spark__sql__shuffle__partitions="8")
+    n = 40_000
+    half = F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id"))
+    df = spark.range(0, n, 1, 8).select(half.alias("a"), F.lit("x").alias("b"))
+
+    def sizes(sorted_rows):
+        counts = sorted_rows.groupBy(F.spark_partition_id().alias("p")).count()
+        return sorted(values(counts.select("count")))
+
+    order = [F.col("a").asc_nulls_last(), F.col("b").asc_nulls_last()]
+    plain, spread = sizes(df.orderBy(*order)), sizes(op.spread(df, *order))
+    assert plain[-1] > 2 * plain[len(plain) // 2] and spread[-1] < 2 * spread[len(spread) // 2]
+    got = op.spread(df, *order)
+    assert got.columns == ["a", "b"]
+    assert values(got.select("a")) == sorted([7] * (n // 2) + list(range(1, n, 2)))
+
+
+def test_only_counted_tables_are_broadcast(spark, conf):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1")
+    small = spark.range(10).withColumnRenamed("id", "k")
+    for rows, kind in ((10, "BroadcastHashJoin"), (9, "SortMergeJoin")):
+        joined = op.lookup(spark.range(20), op.broadcast_if_small(small, rows), {"id": "k"})
+        assert kind in planned(joined) and joined.count() == 20
+
+
+def test_latest_year_reads_its_table_once(spark, tmp_path):
+    rows_ = [(f"{y}-0{m}-01", y * 10 + m) for y in (2017, 2019, 2018) for m in (1, 2)] + [(None, 0)]
+    spark.createDataFrame(rows_, "d string, v int").selectExpr("to_date(d) AS date", "v").repartition(3).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    newest = macro.latest_year(stored)
+    assert sorted(values(newest.select("v"))) == [20191, 20192]
+    plan = planned(newest)
+    assert plan.count("FileScan") == 1 and "WindowGroupLimit" in plan and "Subquery" not in plan
+    assert macro.latest_year(stored.where("date is null")).count() == 0
+    people = stored.select("date", F.col("v").cast("string").alias("region"), F.col("v").alias("population"))
+    assert planned(macro.population_by_region(people)).count("FileScan") == 1

@@ -1,16 +1,18 @@
-from datetime import date
+from datetime import date, datetime
 from decimal import Decimal
 from functools import partial
 from pathlib import Path
 
 import pytest
 from conftest import planned, rows, values
+from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from estatelens import schemas
 from estatelens.plans import catalog, deals, pickers, views
 from estatelens.sources import sinks, versions
+from estatelens.sources.splitting import literal
 from estatelens.sources import (
     Partitioning,
     WorkingTables,
@@ -19,6 +21,9 @@ from estatelens.sources import (
     jdbc_options,
     jdbc_write_options,
     normalise_names,
+    quantiles,
+    range_predicates,
+    read_jdbc,
     read_parquet,
     register_views,
     typed,
@@ -283,3 +288,69 @@ def test_pickers(table):
         "2019-01", "2019-02"
     ]
     assert {r[0] for r in pickers.options(opened, "land_district").collect()} == {"a", None}
+
+
+def test_all_lists_in_one_pass(spark, table, tmp_path):
+    """Ends, missing values and what is chosen at first; one scan serves all lists of a view."""
+    view = table("month string, list_month string, district string, parcel_no string, location string, land_use string",
+                 ("", "2018-10", "温州市(本级)", "1", None, "a"), ("2019-01", "2018-10", None, "2", None, "b"),
+                 ("2019-02", None, "x", "3", None, "b"), (None, "2019-04", "x", "4", None, "a"))
+    view.write.parquet(str(tmp_path / "land"))
+    stock = table("region string, band string, year int", ("鹿城区", "b1", 2018), ("r", None, 2019), ("r", "b1", None))
+    names = [n for n, p in pickers.PICKERS.items() if p.view in ("land", "stock")]
+    found = pickers.all_options({"land": spark.read.parquet(str(tmp_path / "land")), "stock": stock}, names)
+    got = {n: {} for n in names}
+    for r in found.collect():
+        got[r.picker][r.value] = r.chosen
+    assert got == {
+        "land_district": {"温州市(本级)": True, None: False, "x": False}, "land_parcel_no": dict.fromkeys("1234", False),
+        "land_location": {None: False}, "land_use": {"a": False, "b": False},
+        "land_deal_month": {"2019-01": True, "2019-02": False}, "land_list_month": {"2019-04": True},
+        "stock_region": {"鹿城区": True, "r": False}, "stock_band": {"b1": True, None: True},
+        "stock_year": {"2018": False, "2019": True},
+    }
+    lists = planned(pickers.all_options({"land": spark.read.parquet(str(tmp_path / "land"))}, names[:6]))
+    assert lists.count("FileScan") <= 2  # the second one, for the ends, is reused
+    assert len(pickers.PICKERS) == 25
+
+
+def test_predicates_split_a_table_without_gaps(spark):
+    """Text keys, dates, missing and frequent values: each row has one part, and parts are alike in size."""
+    n = 10_000
+    key = F.when(F.col("id") % 3 == 0, "O'Hot").when(F.col("id") % 50 == 1, None).otherwise(
+        F.concat(F.lit("k"), F.sha1(F.col("id").cast("string"))))
+    day = F.date_add(F.lit(date(2019, 1, 1)), (F.col("id") % 777).cast("int"))
+    df = spark.range(n).select("id", key.alias("key"), day.alias("day"), (F.col("id") % 7).alias("n"))
+    for column in ("key", "day", "n"):
+        bounds, frequent = quantiles(df, column, 8)
+        assert len(bounds) <= 8 and frequent == (["O'Hot"] if column == "key" else [])
+        parts = range_predicates(column, bounds, frequent)
+        sizes = [df.where(p).count() for p in parts]
+        assert sum(sizes) == n
+        rest = [s for p, s in zip(parts, sizes) if "IS NULL" not in p and "= 'O''Hot'" not in p]
+        assert max(rest) <= 2 * n / 7
+    ids = range_predicates("id", [2500, 5000, 7500], nullable=False)
+    assert ids == ["id < 2500", "id >= 2500 AND id < 5000", "id >= 5000 AND id < 7500", "id >= 7500"]
+    parts = range_predicates("key", *[quantiles(df, "key", 8)[0], {"O'Hot": ids}])
+    sizes = [df.where(p).count() for p in parts]
+    assert sum(sizes) == n and max(sizes) <= n // 6
+    assert range_predicates("key", []) == ["key IS NOT NULL", "key IS NULL"]
+    assert quantiles(df.where("false"), "key", 4) == ([], [])
+    assert literal(date(2019, 1, 2)) == "'2019-01-02'" and literal(datetime(2019, 1, 2, 3)) == "'2019-01-02 03:00:00'"
+    with pytest.raises(TypeError):
+        literal(object())
+
+
+def test_jdbc_reads_one_task_for_each_predicate(spark, table, monkeypatch):
+    """No database here: what Spark's reader is asked for."""
+    asked = {}
+
+    def jdbc(self, url, name, **options):
+        asked.update(options, url=url, table=name)
+        return promo(table, "x")
+
+    monkeypatch.setattr(DataFrameReader, "jdbc", jdbc)
+    parts = range_predicates("permit", ["m"])
+    assert rows(read_jdbc(spark, "jdbc:mysql://host/db", "promo", parts, user="u")) == [("p", "x")]
+    assert asked == {"url": "jdbc:mysql://host/db", "table": "推广名", "predicates": parts,
+                     "properties": {"fetchsize": "10000", "user": "u"}}
