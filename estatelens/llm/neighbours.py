@@ -2,11 +2,11 @@
 
 Vectors are hashed by single random projections, each kept as one sorted array.
 A query collides with a vector in a projection if their values differ by no more
-than the window's half-width. Windows are centred on the query and expanded by
-virtual rehashing: the radius grows by a factor, and only the new ends of each
+than the window's half-width, which is the radius. Windows are centred on the query
+and expanded by virtual rehashing: the radius grows, and only the new ends of each
 window are read. A vector that collides in enough projections is verified by
-its exact cosine. A query ends when its k-th best verified vector lies within
-the radius, which the windows were made for, or when everything is verified.
+its exact cosine. The radius grows by a factor, but never past the distance of the
+k-th best verified vector: once that lies within the radius, the query ends.
 
 Vectors are dealt into blocks of bounded size and queries too; each pair of
 blocks is one group, with an index of the block's vectors. The best of each
@@ -21,50 +21,82 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _OUT = "query_id bigint, vec_id bigint, score double"
+_WITHIN = 0.6827  # of a normal variable, within its standard deviation
+_BLOCK_BYTES = 64 << 20
+
+
+def directions(length: int, projections: int, seed: int) -> np.ndarray:
+    """Random directions, as columns, orthogonal in groups of ``length``; their squares add up like those of normal ones."""
+    rng = np.random.default_rng(seed)
+    groups = [np.linalg.qr(rng.standard_normal((length, length)))[0] for _ in range(-(-projections // length))]
+    return np.sqrt(length) * np.concatenate(groups, axis=1)[:, :projections]
 
 
 class Index:
     """Sorted projections of unit vectors.
 
-    With half-width 1 for radius 1, a vector at the radius collides in a
-    projection with probability 0.68; ``share`` of the projections is the threshold.
+    A vector at the radius collides in a projection with probability 0.68. It is verified if
+    it collides in as many projections as that lets expect, less ``slack`` standard deviations:
+    1.4 of them miss about one in twelve of the vectors at the radius, and fewer within.
     """
 
-    def __init__(self, units: np.ndarray, projections: int = 48, share: float = 0.55, seed: int = 7):
+    def __init__(self, units: np.ndarray, projections: int = 192, slack: float = 1.4, seed: int = 7):
         self.units = units
-        self.directions = np.random.default_rng(seed).standard_normal((units.shape[1], projections))
+        n, length = units.shape
+        self.directions = directions(length, projections, seed)
         values = (units @ self.directions).T
-        self.order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
-        self.values = np.take_along_axis(values, self.order, axis=1)
-        self.threshold = int(np.ceil(share * projections))
+        order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
+        # one array for all projections: each has a range of its own
+        self.reach = 2 * np.sqrt(length) + 1
+        self.shift = np.arange(projections) * 4 * self.reach
+        self.values = (np.take_along_axis(values, order, axis=1) + self.shift[:, None]).ravel()
+        self.order = order.ravel()
+        spread = np.sqrt(_WITHIN * (1 - _WITHIN) * projections)
+        self.threshold = max(1, int(np.ceil(_WITHIN * projections - slack * spread)))
+
+    def _added(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """How often each vector stands in the ranges of the sorted arrays."""
+        count = end - begin
+        first = np.cumsum(count) - count
+        at = np.repeat(begin - first, count) + np.arange(count.sum())
+        return np.bincount(self.order[at], minlength=len(self.units))
 
     def candidates(
-        self, query: np.ndarray, k: int, ids: np.ndarray, own: int, start: float = 0.25, growth: float = 1.25
+        self, query: np.ndarray, k: int, ids: np.ndarray, own: int, start: float = 0.5, growth: float = 1.15
     ) -> np.ndarray:
         """Rows that were verified until ``k`` distinct ids other than ``own`` lay within the radius."""
-        n, m = len(self.units), len(self.values)
+        n = len(self.units)
         centre = query @ self.directions
-        low = np.array([np.searchsorted(v, c) for v, c in zip(self.values, centre)])
-        high = low.copy()
-        hits = np.zeros(n, np.int16)
+        low = high = np.searchsorted(self.values, centre + self.shift)
+        hits = np.zeros(n, np.int64)
         verified = np.zeros(n, bool)
         distance = np.full(n, np.inf)
+        others = ids != own
         radius = start
         while True:
-            for i in range(m):
-                values = self.values[i]
-                a = np.searchsorted(values, centre[i] - radius, "left")
-                b = np.searchsorted(values, centre[i] + radius, "right")
-                hits[self.order[i, a : low[i]]] += 1
-                hits[self.order[i, high[i] : b]] += 1
-                low[i], high[i] = min(a, low[i]), max(b, high[i])
+            a = np.searchsorted(self.values, np.maximum(centre - radius, -self.reach) + self.shift, "left")
+            b = np.searchsorted(self.values, np.minimum(centre + radius, self.reach) + self.shift, "right")
+            a, b = np.minimum(a, low), np.maximum(b, high)
+            hits += self._added(np.concatenate((a, high)), np.concatenate((low, b)))
+            low, high = a, b
             new = np.flatnonzero((hits >= self.threshold) & ~verified)
             verified[new] = True
             distance[new] = np.sqrt(np.maximum(0, 2 - 2 * (self.units[new] @ query)))
-            within = ids[distance <= radius]
-            if len(np.unique(within[within != own])) >= k or verified.all():
+            known = np.flatnonzero(verified & others)
+            nearest = known[np.argsort(distance[known], kind="stable")]
+            _, first = np.unique(ids[nearest], return_index=True)
+            best = np.sort(distance[nearest[first]])
+            kth = best[k - 1] if len(best) >= k else np.inf
+            if kth <= radius or verified.all() or radius > 2 * self.reach:
                 return np.flatnonzero(verified)
-            radius *= growth
+            radius = min(radius * growth, max(kth, radius * 1.0001))
+
+
+def _units(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows, scaled by powers of two so that their squares neither vanish nor overflow, and their lengths."""
+    _, exponent = np.frexp(np.abs(rows).max(1))
+    rows = np.ldexp(rows, -exponent[:, None])
+    return rows, np.sqrt((rows * rows).sum(1))
 
 
 def _search(k: int, options: dict):
@@ -73,7 +105,7 @@ def _search(k: int, options: dict):
         if data.num_rows and queries.num_rows:
             ids, rows = _matrix(data)
             asked, wanted = _matrix(queries)
-            norms, lengths = np.sqrt((rows * rows).sum(1)), np.sqrt((wanted * wanted).sum(1))
+            (rows, norms), (wanted, lengths) = _units(rows), _units(wanted)
             index = Index(rows / norms[:, None], **options)
             for q in range(len(asked)):
                 # one more than k, so that no block looks less far than one with the query's own row
@@ -107,7 +139,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 65536, least_block: int = 1024, **options
+    vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 32768, least_block: int = 4096, **options
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest of ``vectors`` by cosine that were found for each query.
 
@@ -116,12 +148,15 @@ def nearest(
     candidates. Rows without a vec_id and unusable vectors take no part; vectors
     are compared with those of their own length. Of rows that repeat a query's
     vec_id the smallest vector is the query; of repeated candidates the nearest
-    counts. Every vector is indexed; ``options`` go to the index.
+    counts. Every vector is indexed; ``options`` go to the index. A block has at most
+    ``block`` vectors and about 64 MB of them.
     """
     spark = vectors.sparkSession
     data = usable(vectors).distinct()
     asked = usable(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n, n_asked = data.count(), asked.count()
+    n, longest = data.agg(F.count("*"), F.max(F.size("v"))).first()
+    n_asked = asked.count()
+    block = max(1, min(block, _BLOCK_BYTES // (8 * (longest or 1))))
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(-(-n // block), min(parallel, -(-n // least_block)), 1)
     rounds = max(-(-n_asked // block), 1)
