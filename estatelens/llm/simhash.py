@@ -16,15 +16,13 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from estatelens.llm.common import Scratch, group_starts, texts_of, whole_groups
-from estatelens.llm.components import components
+from estatelens.llm.components import components, lookup
 
 SEED = 42
 
@@ -46,8 +44,12 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def _body(text: str) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit(""))).alias("body")
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp) for each row; a null or empty text has fingerprint 0."""
+    """(doc_id, body, fp) for each row; a null or empty text has fingerprint 0, body is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,9 +59,12 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
                 (fingerprint(bytes(view[at[i] : at[i + 1]]), words) for i in range(batch.num_rows)),
                 np.uint64, batch.num_rows,
             )
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": found.view(np.int64)})
+            yield pa.record_batch({
+                "doc_id": batch.column("doc_id"), "body": batch.column("body"), "fp": found.view(np.int64),
+            })
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _body("text"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, body bigint, fp bigint")
 
 
 def _mask(sizes: list[int], chosen: tuple[int, ...], bits: list[int]) -> int:
@@ -141,6 +146,20 @@ def links(nodes: DataFrame, bits: int = 3, blocks: int = 6, large: int = 1024) -
     return near.unionByName(_linked(crowded, ["t", "key", "t2", "key2"], bits))
 
 
+def _classes(nodes: DataFrame, scratch: Scratch, bits: int, blocks: int, large: int) -> DataFrame:
+    """(fp, root, component_id) of all ``nodes`` (fp, first_id): the smallest fingerprint reachable, and the smallest id."""
+    roots = components(links(nodes, bits, blocks, large), scratch)
+    linked = scratch.table(nodes.join(roots, nodes.fp == roots.node).select("fp", "first_id", "root"), "linked")
+    smallest = linked.groupBy("root").agg(F.struct(F.min("first_id").alias("id")).alias("m"), F.count("*").alias("n"))
+    linked = lookup(linked, "root", smallest, linked.count()).select("fp", "root", F.col("m.id").alias("least_id"))
+    # a table of its own: adaptive execution splits a hot fingerprint only where both sides come from
+    # plain exchanges
+    return scratch.table(nodes.join(linked, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"),
+        F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id"),
+    ), "classes")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, blocks: int = 6, large: int = 1024) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links of close fingerprints.
 
@@ -150,36 +169,35 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, blocks: int
     other than doc_id and text are ignored; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    fps = scratch.table(fingerprints(docs, words), "fingerprints")
+    fps = scratch.table(fingerprints(docs, words).drop("body"), "fingerprints")
     nodes = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots = components(links(nodes, bits, blocks, large), scratch)
-    linked = nodes.join(roots, nodes.fp == roots.node).select("fp", "first_id", "root")
-    smallest = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    linked = linked.join(smallest, "root").select("fp", "least_id")
-    # a table of its own: adaptive execution splits a hot fingerprint only where both sides come from
-    # plain exchanges
-    classes = scratch.table(nodes.join(linked, "fp", "left").select(
-        "fp", F.coalesce("least_id", "first_id").alias("component_id")
-    ), "classes")
+    classes = _classes(nodes, scratch, bits, blocks, large)
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, **options) -> DataFrame:
-    """One row of each component: that with the smallest doc_id, all columns unchanged.
+def keep_one(docs: DataFrame, words: int = 3, bits: int = 3, blocks: int = 6, large: int = 1024) -> DataFrame:
+    """One row of each component of close fingerprints, all columns unchanged.
 
-    Of several rows with that doc_id one stays. Rows with a null doc_id stay
-    only where no named document is linked to them, one for each fingerprint.
+    The row with the smallest doc_id stays, nulls last, then that with the
+    smallest hash of its text; of rows that are equal in both, one stays. Null
+    texts, empty texts and texts without words are one component with whatever
+    is close to fingerprint 0.
     """
-    classes = near_duplicates(docs, words, **options)
-    winners = classes.select(F.col("component_id").alias("_keep")).where("_keep is not null").distinct()
-    named = docs.join(winners, docs.doc_id == winners._keep, "left_semi").dropDuplicates(["doc_id"])
-
-    @pandas_udf("bigint")
-    def of_text(texts: pd.Series) -> pd.Series:
-        found = [fingerprint((t or "").encode(), words) for t in texts]
-        return pd.Series(np.array(found, np.uint64).view(np.int64))
-
-    orphans = classes.where("component_id is null").select(F.col("fp").alias("_fp")).distinct()
-    bare = docs.where("doc_id is null").withColumn("_fp", of_text("text"))
-    bare = bare.join(orphans, "_fp", "left_semi").dropDuplicates(["_fp"]).select(*docs.columns)
-    return named.unionByName(bare)
+    scratch = Scratch(docs.sparkSession, "simhash")
+    fps = scratch.table(fingerprints(docs, words), "fingerprints")
+    nodes = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+    classes = _classes(nodes, scratch, bits, blocks, large).select("fp", "root")
+    order = F.struct(F.col("doc_id").isNull().alias("bare"), F.coalesce("doc_id", F.lit(0)).alias("id"), "body")
+    # rows that are equal in all three are counted before the join, which may then split a hot component
+    rows = scratch.table(fps.groupBy("fp", order.alias("at")).agg(F.count("*").alias("n")), "rows")
+    best = rows.join(classes, "fp").groupBy("root").agg(F.min(F.struct("at", "n")).alias("best"))
+    winners = scratch.table(best.select("best.at.bare", "best.at.id", "best.at.body", "best.n"), "winners")
+
+    own = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").isNull().alias("bare"),
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("id"), _body("text"),
+    )
+    keys = ["bare", "id", "body"]
+    once = own.join(winners.where("n = 1"), keys, "left_semi")
+    again = own.join(winners.where("n > 1"), keys, "left_semi").dropDuplicates(keys)
+    return once.unionByName(again).select("row.*")

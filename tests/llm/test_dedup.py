@@ -157,6 +157,24 @@ def test_one_document_of_each_group_stays(docs):
     ]
 
 
+def test_one_row_stays_whatever_repeats(spark):
+    """Repeated doc_ids with other texts, rows without doc_id, long texts, and columns named like the helpers."""
+    rng = random.Random(12)
+    texts = [words(rng, 60, 10**6) for _ in range(4)] + ["w" * 3_000_000, "long " * 500_000]
+    rows = [(i, t, f"{i} {t[:9]}", 1, 2, 3) for t in texts for i in (8, 5, 5, None, 8)]
+    rows += [(5, texts[0].replace("1", "2", 1), "near", 1, 2, 3)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, row string, bare int, n int, root int")
+    fps = [plain_fingerprint(r[1]) if len(r[1]) < 10**6 else simhash.fingerprint(r[1].encode()) for r in rows]
+    groups = {}
+    for c, r in zip(plain_components(fps), rows):
+        groups.setdefault(c, []).append(r)
+    kept = simhash.keep_one(table).collect()
+    assert len(kept) == len(groups) >= 5
+    for members in groups.values():
+        least = min(r[0] for r in members if r[0] is not None)
+        assert sum(tuple(k) in members and k.doc_id == least for k in kept) == 1
+
+
 def test_near_duplicates_of_odd_rows(docs):
     rows = [(5, None), (3, ""), (3, ""), (None, " \n"), (8, "a"), (9, "A")]
     found = sorted((r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(docs(rows)).collect())
