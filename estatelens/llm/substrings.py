@@ -33,7 +33,7 @@ from estatelens.llm.suffix_dedup import _range_names, least_of, names
 GRAM = 4
 SHARE = 1 / 20_000  # of all grams: above it a gram is frequent, so there are at most 20,000 such grams
 _LOCAL = 8  # a gram counts towards the frequent ones of a block of text if it stands there so often
-_BLOCK = 4 << 20
+_BLOCK = 2 << 20
 _WORDS = 1 << 16
 _BYTE, _NAME = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -196,7 +196,7 @@ def _matched(texts: DataFrame, length: int) -> DataFrame:
     """(gram, whole, at, n, least_id): windows of each class, and the smallest doc_id that has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["gram"], 20_000):
+        for table in whole_groups(batches, ["gram"], 10_000):
             known: dict[bytes, int] = {}
             words = [_WORD.findall(t) for t in table.column("text").to_pylist()]
             flat = np.fromiter((known.setdefault(w, len(known) + 1) for ws in words for w in ws), np.int64)
