@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelens.llm import near_copies, packing, quality, secrets, suffix_dedup
+from estatelens.llm import packing, quality, secrets, simhash, suffix_dedup
 from estatelens.llm.common import Scratch
 
 
@@ -22,11 +22,11 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id.
+    """One document of each group of close SimHash fingerprints: the one with the smallest doc_id.
 
-    Near copies share 80 of 100 five-word shingles (Jaccard), or are linked by such pairs.
+    Fingerprints of three-word shingles link at three or fewer differing bits.
     """
-    return near_copies.keep_one(docs, words=5, percent=80)
+    return simhash.keep_one(docs, words=3, bits=3)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
