@@ -1,6 +1,7 @@
 """The pipeline against plain versions of its stages."""
 
 import re
+from collections import Counter
 
 import corpus_pipeline
 import pytest
@@ -9,7 +10,7 @@ from tokenizers import Tokenizer
 import public_tokenizers as P
 from estatelens.llm import suffix_dedup
 from tests.llm.support import MEDIUM, docs  # noqa: F401  (docs is a fixture)
-from tests.llm.test_dedup import plain_components, plain_repeats
+from tests.llm.test_dedup import plain_components, plain_fingerprint
 from tests.llm.test_tokens import check_packing
 
 SPACE = "[\x20\x09-\x0d]+"
@@ -37,26 +38,37 @@ def plain_good(text):
     )
 
 
-def plain_fingerprint(text, words):
-    import xxhash
-
-    found = words_of("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    if not found:
-        return 0
-    shingles = [" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))]
-    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def plain_pieces(rows):
-    """(doc_id, piece, start, length, crc) of the whole pipeline."""
+def plain_cut(texts, length=400, n=51):
+    """Texts without the bytes of repeated byte windows, whole characters only, and of repeated word windows."""
+    data = [(t or "").encode() for t in texts]
+    places = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", t)] for t in data]
+    runs = [[t[a:b] for a, b in p] for t, p in zip(data, places)]
+    by_bytes = Counter(t[p : p + length] for t in data for p in range(len(t) - length + 1))
+    by_words = Counter(tuple(r[i : i + n]) for r in runs for i in range(len(r) - n + 1))
+    out = []
+    for t, p, r in zip(data, places, runs):
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if by_bytes[t[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        for c in re.finditer(rb"[\xc0-\xff][\x80-\xbf]+", t):
+            if not all(gone[c.start() : c.end()]):
+                gone[c.start() : c.end()] = bytes(c.end() - c.start())
+        for i in range(len(r) - n + 1):
+            if by_words[tuple(r[i : i + n])] > 1:
+                a, b = p[i][0], p[i + n - 1][1]
+                gone[a:b] = b"\1" * (b - a)
+        out.append(bytes(c for c, g in zip(t, gone) if not g).decode())
+    return out
+
+
+def plain_texts(rows):
+    """The texts that the whole pipeline packs, by doc_id."""
     kept = {i: t for i, t in sorted(rows) if plain_good(t)}
     ids = list(kept)
-    classes = plain_components([plain_fingerprint(kept[i], 5) for i in ids])
+    classes = plain_components([plain_fingerprint(kept[i]) for i in ids])
     kept = {i: kept[i] for n, i in enumerate(ids) if classes[n] == n}
-    cut = {}
-    for (i, t), (gone, _, rest) in zip(kept.items(), plain_repeats(kept.values(), 400)):
-        cut[i] = t if not gone else rest.decode()
+    cut = dict(zip(kept, plain_cut(kept.values())))
     key = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     strong = re.compile(key + r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12,}|AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}""")
     return {i: strong.sub("[secret]", t) for i, t in cut.items()}
@@ -66,7 +78,7 @@ def test_pipeline_equals_plain_version(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()]
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     library.encode_special_tokens = True
-    used, least = check_packing(corpus_pipeline.run(spark, MEDIUM).collect(), plain_pieces(rows), library)
+    used, least = check_packing(corpus_pipeline.run(spark, MEDIUM).collect(), plain_texts(rows), library)
     assert used <= least + 1
 
 
