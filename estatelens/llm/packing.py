@@ -13,6 +13,7 @@ all pieces have is no hot key.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from array import array
@@ -71,10 +72,42 @@ class NormalisedWords:
         return [ids[words[0]] if len(words) == 1 else b"".join([ids[w] for w in words]) for words in split]
 
 
+class WholeTexts:
+    """Ids of whole texts as the library gives them by default.
+
+    Texts that hold one of the vocabulary's added tokens, such as ``<|endoftext|>``, go to the
+    library as they are: it gives such a token its own id wherever it stands. All other texts
+    are made of units.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
+        self.units = UnitEncoder(NormalisedWords(path), fold=True)
+
+    def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where each text's ids start."""
+        ids, at = self.units.texts(data, offsets)
+        whole = memoryview(data)[offsets[0] : offsets[-1]]
+        found = {m.start() for m in self.added.finditer(whole)} if self.added else ()
+        rows = np.unique(np.searchsorted(offsets - offsets[0], sorted(found), "right") - 1) if found else ()
+        for row in rows:
+            text = bytes(memoryview(data)[offsets[row] : offsets[row + 1]])
+            if not self.added.search(text):
+                continue  # it stands across two texts
+            own = np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, np.int32)
+            ids = np.concatenate((ids[: at[row]], own, ids[at[row + 1] :]))
+            at = np.concatenate((at[: row + 1], at[row + 1 :] + at[row] + len(own) - at[row + 1]))
+        return ids, at
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str) -> UnitEncoder:
+def encoder(path: str) -> WholeTexts:
     """One for each worker process."""
-    return UnitEncoder(NormalisedWords(path), fold=True)
+    return WholeTexts(path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

@@ -77,7 +77,6 @@ def plain_texts(rows):
 def test_pipeline_equals_plain_version(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()]
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     used, least = check_packing(corpus_pipeline.run(spark, MEDIUM).collect(), plain_texts(rows), library)
     assert used <= least + 1
 

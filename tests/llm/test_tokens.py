@@ -19,7 +19,8 @@ ODD = [
     "日本語 テスト\nあ", "\n\nab\n c\t d ", "é é\n", "aaaa aaaaa aaaaaa", "#### !!!\n??\n", "a\x1cb \x1d c",
     " x   y", "ΑΣ ΣΑΣ. Σ", "İstanbul ẞ ǅ", "é ạ̊ ́x", "𝒳𝒴 😀 😀😀\n😀", "!!'s x''s",
     "ﬁ ½ ²٣", "한국어 각", "\x00\x7f", "a​b\xa0c\x85d", "THE The the, THE. 'The' the!", "é, É. ×, ÷. a×,",
-    "<|endoftext|>",
+    "<|endoftext|>", "hello <|endoftext|> world", "x<|startoftext|><|endoftext|>É.<|endoftext|", "<|ENDOFTEXT|>", "a <|endof",
+    "text|> b", "a\n<|startoftext|>\n" + "é b. " * 2000,
 ]
 
 
@@ -30,9 +31,7 @@ def byte_library():
 
 @pytest.fixture(scope="module")
 def word_library():
-    t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(WORDS)
 
 
 @pytest.fixture(scope="module")
