@@ -31,11 +31,13 @@ def _one_line(forms: str) -> str:
 
 
 _KNOWN = ", ".join(f"({_text(name)}, {_text(text)})" for name, text in licenses.NOTICES)
+_WHOLE = ", ".join(f"({_text(name)}, {_text(digest)})" for name, _, digest in licenses.WHOLE_TEXTS)
 LICENSES = f"""
 WITH known AS (
-    SELECT sha256(form) AS digest, min(license) AS license
-    FROM (SELECT license, {_one_line(_forms('text'))} AS form FROM (VALUES {_KNOWN}) AS v(license, text))
-    GROUP BY 1
+    SELECT digest, min(license) AS license FROM (
+        SELECT license, sha256({_one_line(_forms('text'))}) AS digest FROM (VALUES {_KNOWN}) AS v(license, text)
+        UNION ALL FROM (VALUES {_WHOLE}) AS w(license, digest)
+    ) GROUP BY 1
 ), formed AS (
     SELECT rowid AS r, doc_id, {_forms("coalesce(text, '')")} AS forms
     FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents)

@@ -1,9 +1,11 @@
 """Licence, quality and secret scans next to their SQL, and their own cases."""
 
 import os
+from pathlib import Path
 
 import duckdb
 import pandas as pd
+import pyspark
 import pytest
 
 from estatelens.llm import licenses, queries, quality, secrets
@@ -71,6 +73,26 @@ def test_licences_in_other_spelling(docs):
     assert found[11].license == "MIT" and found[3].license is None
 
 
+def test_whole_licence_files(docs):
+    """Files as systems and packages ship them: other line ends, indents and copyright lines make no difference."""
+    system = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only",
+              "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "Artistic": "Artistic-1.0-Perl"}
+    files = {Path("/usr/share/common-licenses", n): spdx for n, spdx in system.items()}
+    packages = Path(pyspark.__file__).parents[1]
+    files |= {f: "BSD-3-Clause" for f in packages.glob("idna-*.dist-info/**/LICENSE.md")}
+    files |= {f: "BSD-2-Clause" for f in packages.glob("packaging-*.dist-info/**/LICENSE.BSD")}
+    files |= {f: "MIT" for f in packages.glob("iniconfig-*.dist-info/**/LICENSE")}
+    there = {f.read_text(): spdx for f, spdx in files.items() if f.exists()}
+    if not there:
+        pytest.skip("no licence files on this machine")
+    texts = [(t, spdx) for t, spdx in there.items()]
+    texts += [("\t" + t.replace("\n", "\r\n   ").upper(), spdx) for t, spdx in there.items()]
+    texts += [(t.replace("Copyright (c)", "Copyright © 1999-2020 Some Body;"), spdx) for t, spdx in there.items()]
+    texts += [(t + "\nand more", None) for t in there]
+    found = {r.doc_id: r.license for r in licenses.scan(docs([(i, t) for i, (t, _) in enumerate(texts)])).collect()}
+    assert found == {i: spdx for i, (_, spdx) in enumerate(texts)}
+
+
 def test_rules_of_any_order_give_the_same_verdicts(docs):
     from pyspark.sql import functions as F
 
@@ -83,6 +105,25 @@ def test_rules_of_any_order_give_the_same_verdicts(docs):
     assert found[0] == found[1] and {i for i, kept in found[0].items() if kept} == {11}
 
 
+def test_order_follows_marginal_cost_and_what_is_left(docs):
+    """A feature that is there costs nothing, and rejections count once."""
+    by = {r.name: r for r in quality.RULES + quality.BASE_RULES}
+    symbols, capitals, few, repeats = (by[n] for n in ("symbols", "capitals", "few words", "repeated words"))
+    shouting = [(i, "WORDS IN CAPITALS " * 40) for i in range(10)]
+    signs = [(i + 10, "a # " * 200) for i in range(5)]
+    plain = [(i + 20, " ".join(f"word{j}" for j in range(60 + i))) for i in range(20)]
+    table = docs(shouting + signs + plain)
+    names = lambda *rules, **given: [r.name for r in quality.ordered(table, rules, **given)]
+    assert names(symbols, capitals) == ["capitals", "symbols"]  # more rejections for a similar cost
+    assert names(capitals, symbols, known=("words", "n_words", "n_symbols")) == ["symbols", "capitals"]  # no cost any more
+    # all that repeats has been rejected before, so the costly rule goes last
+    assert names(repeats, capitals, symbols) == ["capitals", "symbols", "repeated words"]
+    assert names(capitals, symbols, few, after=(repeats,)) == ["capitals", "symbols", "few words"]
+    # the first of equal rules; nothing to learn from an empty table
+    assert [r.name for r in quality.ordered(table.where("false"), (symbols, few))] == ["symbols", "few words"]
+    assert quality.ordered(table, quality.RULES) == quality.ordered(table, quality.RULES)
+
+
 def test_good_rows_stay_unchanged(docs):
     good = " ".join(f"word{i} of" for i in range(40))
     table = docs([(1, good), (2, "bad"), (1, good), (None, good), (3, None)])
