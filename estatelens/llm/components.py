@@ -11,16 +11,17 @@ from estatelens.llm.common import Scratch
 HUBS = 1000
 
 
-def lookup(rows: DataFrame, key: str, found: DataFrame, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``found`` (key, m, n), where n is how many of the ``total`` rows have the key.
+def lookup(rows: DataFrame, keys: str | list[str], found: DataFrame, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``found`` (keys, m, n), where n is how many of ``total`` rows have the keys.
 
     The rows of a hub stay where they are: hubs, at most ``HUBS`` of them by their definition,
     are broadcast with their m. All other keys are joined by a shuffle, in which none has
     more than a thousandth of the rows.
     """
-    hubs = found.where(F.col("n") * HUBS > total).select(key, F.col("m").alias("__hub"))
-    tagged = rows.join(F.broadcast(hubs), key, "left")
-    rest = tagged.where("__hub is null").drop("__hub").join(found.select(key, "m"), key)
+    keys = [keys] if isinstance(keys, str) else keys
+    hubs = found.where(F.col("n") * HUBS > total).select(*keys, F.col("m").alias("__hub"))
+    tagged = rows.join(F.broadcast(hubs), keys, "left")
+    rest = tagged.where("__hub is null").drop("__hub").join(found.select(*keys, "m"), keys)
     return tagged.where("__hub is not null").withColumnRenamed("__hub", "m").unionByName(rest)
 
 

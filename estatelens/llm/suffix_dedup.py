@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.llm.common import Scratch, finish, texts_of, whole_groups
+from estatelens.llm.components import lookup
 
 _BYTE, _GRAM, _WINDOW, _TEXT = (
     0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
@@ -149,7 +150,7 @@ def _runs(docs: DataFrame, length: int, q: int, words: bool) -> DataFrame:
 def _texts_of_runs(docs: DataFrame, runs: DataFrame, length: int, words: bool) -> DataFrame:
     """The runs with the bytes, or the names of the words, that their windows cover."""
     asked = runs.groupBy("doc_id", "body").agg(
-        F.collect_list(F.struct("gram", "pos", "n", "single")).alias("asked")
+        F.collect_list(F.struct("gram", "pos", "n", "single", "crowded")).alias("asked")
     ).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "asked")
     found = docs.join(asked, docs.doc_id.eqNullSafe(asked._id) & (docs.body == asked._body))
 
@@ -158,19 +159,19 @@ def _texts_of_runs(docs: DataFrame, runs: DataFrame, length: int, words: bool) -
             data, at = texts_of(batch.column("text"))
             asked = batch.column("asked")
             row = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
-            gram, pos, n, single = asked.flatten().flatten()
+            gram, pos, n, single, crowded = asked.flatten().flatten()
             own = [elements(data[a:b], words) for a, b in zip(at[:-1], at[1:])]
             begin = pos.to_numpy()
             end = begin + n.to_numpy() - 1 + length
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id").take(pa.array(row)),
                 "body": batch.column("body").take(pa.array(row)),
-                "gram": gram, "pos": pos, "n": n, "single": single,
+                "gram": gram, "pos": pos, "n": n, "single": single, "crowded": crowded,
                 "bytes": pa.array([own[i][a:b].tobytes() for i, a, b in zip(row, begin, end)], pa.binary()),
             })
 
     return found.select("doc_id", "body", "text", "asked").mapInArrow(
-        run, "doc_id bigint, body bigint, gram bigint, pos bigint, n bigint, single boolean, bytes binary"
+        run, "doc_id bigint, body bigint, gram bigint, pos bigint, n bigint, single boolean, crowded boolean, bytes binary"
     )
 
 
@@ -224,7 +225,7 @@ def _marks(table: pa.Table, text: np.ndarray, repeats: np.ndarray) -> pa.RecordB
     })
 
 
-def _counted_windows(runs: DataFrame, length: int, words: bool) -> DataFrame:
+def _counted_windows(runs: DataFrame, length: int, words: bool, scratch: Scratch) -> DataFrame:
     """As _same_windows for buckets of any size: windows are rows, counted by name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,10 +246,10 @@ def _counted_windows(runs: DataFrame, length: int, words: bool) -> DataFrame:
     windows = runs.mapInArrow(
         run, "doc_id bigint, body bigint, pos bigint, single boolean, gram bigint, name bigint"
     )
-    twice = windows.groupBy("gram", "name").agg(F.count("*").alias("c")).where("c > 1")
-    return windows.where("single").join(twice, ["gram", "name"]).select(
-        "doc_id", "body", "pos", F.lit(1).cast("bigint").alias("n")
-    )
+    windows = scratch.table(windows, "crowded")
+    twice = windows.groupBy("gram", "name").agg(F.lit(True).alias("m"), F.count("*").alias("n")).where("n > 1")
+    found = lookup(windows.where("single"), ["gram", "name"], twice, windows.count())
+    return found.select("doc_id", "body", "pos", F.lit(1).cast("bigint").alias("n"))
 
 
 def repeated(docs: DataFrame, length: int = 400, q: int = 128, large: int = 1024, words: bool = False) -> DataFrame:
@@ -262,27 +263,28 @@ def repeated(docs: DataFrame, length: int = 400, q: int = 128, large: int = 1024
     scratch = Scratch(docs.sparkSession, "suffixes")
     docs = with_body(docs)
     runs = scratch.table(_runs(docs, length, q, words), "runs")
+    total = runs.count()
     buckets = runs.groupBy("gram").agg(
-        F.count("*").alias("c"), (F.min("whole") != F.max("whole")).alias("mixed")
-    ).where("c > 1").drop("c")
-    # a table of its own: adaptive execution splits hot keys only where both sides come from plain exchanges
+        (F.min("whole") != F.max("whole")).alias("m"), F.count("*").alias("n")
+    ).where("n > 1")
     buckets = scratch.table(buckets, "buckets")
-    shared = scratch.table(runs.join(buckets, "gram"), "shared")
+    shared = scratch.table(lookup(runs, "gram", buckets, total).withColumnRenamed("m", "mixed"), "shared")
     classes = shared.where("mixed").groupBy("gram", "whole").agg(
         F.count("*").alias("c"), F.min(F.struct("doc_id", "body", "pos", "n")).alias("one")
     )
-    classes = scratch.table(classes.select("gram", "whole", "one.*", (F.col("c") == 1).alias("single")), "classes")
+    classes = scratch.table(classes.select("gram", "whole", "one.*", "c", (F.col("c") == 1).alias("single")), "classes")
     scratch.drop("runs")
     scratch.drop("buckets")
     where = ["doc_id", "body", "pos", "n"]
+    several = classes.where("not single").select("gram", "whole", F.lit(True).alias("m"), F.col("c").alias("n"))
     settled = shared.where("not mixed").select(where).unionByName(
-        shared.where("mixed").join(classes.where("not single").select("gram", "whole"), ["gram", "whole"]).select(where)
+        lookup(shared.where("mixed"), ["gram", "whole"], several, total).select(where)
     )
-    sizes = classes.groupBy("gram").agg((F.count("*") > large).alias("crowded"))
-    texts = _texts_of_runs(docs, classes.drop("whole"), length, words).join(sizes, "gram")
-    texts = scratch.table(texts, "texts")
+    sizes = classes.groupBy("gram").agg((F.count("*") > large).alias("m"), F.count("*").alias("n"))
+    asked = lookup(classes.drop("whole", "c"), "gram", sizes, classes.count()).withColumnRenamed("m", "crowded")
+    texts = scratch.table(_texts_of_runs(docs, asked, length, words), "texts")
     same = _same_windows(texts.where("not crowded").drop("crowded"), length, words)
-    counted = _counted_windows(texts.where("crowded").drop("crowded"), length, words)
+    counted = _counted_windows(texts.where("crowded").drop("crowded"), length, words, scratch)
     return scratch.table(settled.unionByName(same).unionByName(counted), "windows")
 
 
