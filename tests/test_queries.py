@@ -1,6 +1,10 @@
 """Every registered query next to its SQL, and properties of the plans."""
 
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from conftest import executed_plan, planned
@@ -78,3 +82,20 @@ def test_invariants(spark):
         m.supplied.where("band is not null").select("date", "region", "band")
     )
     assert m.region_band_stock.count() == keys.distinct().count()
+
+
+def test_the_rest_works_without_the_training_data_part(tmp_path):
+    """As if the optional folder were not there, with its pipeline left behind or not."""
+    root = Path(driver.__file__).parent
+    for name in ("estatelens", "checks"):
+        shutil.copytree(root / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    script = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), *(n for n in e.queries() if n[:2] == 'op'))"
+    for pipeline in (True, False):
+        left = tmp_path / "corpus_pipeline.py"
+        if pipeline and (root / left.name).exists():
+            shutil.copy(root / left.name, left)
+        else:
+            left.unlink(missing_ok=True)
+        ran = subprocess.run([sys.executable, "-B", "-c", script], cwd=tmp_path, capture_output=True, text=True, check=True)
+        assert ran.stdout.split() == [str(len(QUERIES)), str(len(ORACLES))]
