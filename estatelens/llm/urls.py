@@ -22,13 +22,28 @@ BLOCK_NAMES = (
     "pills-online cheapmeds cheap-drugs pharma-pills diet-pills cheap-pharmacy adult-video xadult adult-dating "
     "xxx-adult adults-only spam-mail spamlinks buy-spam link-farm content-farm click-farm ads-server adsclick "
     "track-ads tracking tracker user-track free-loans cheap-loans free-movies win-prize malware-kit win-phone "
-    "ads-network ads-media click-track track-pixel adserve"
+    "ads-network ads-media click-track track-pixel adserve "
+    "roulette jackpot slots-online blackjack-games lottery-winner gambling-site payday-loan instant-loan replica-watches "
+    "porn-tube camgirls escorts-city hookup-now sexy-girls viagra-online steroids-shop weightloss-pills rx-pharmacy "
+    "popup-ads banner-ads adnetwork doubleads pixel-tracker clicktracker spam-bot spammer bulk-spam mass-mail phishing "
+    "keygen-cracks warez-zone torrent-free crypto-doubler get-rich-quick betting-odds sportsbet bookmaker-bets poker-room"
 ).split()
 ALLOW_NAMES = (
     "library mountains history science gardening nature weather teaching museum edition recipes music journal "
     "astronomy travel school tionhe anderst thenre oningan erethha tiereur stinter ouanthe hethanti thouree "
     "ationle erntha inganre ndorthe news-today open-data city-guide book-club free-software "
-    "winter farmers address adulthood"
+    "winter farmers address adulthood "
+    "biology physics geography algebra geometry literature painting theatre cinema opera ballet concert festival "
+    "government ministry parliament council village mountain-club river forest garden-society birdwatching fishing "
+    "bicycle cycling football tennis swimming athletics chess bridge knitting pottery carpentry woodwork blacksmith "
+    "bakery kitchen restaurant vegetables cheese coffee tea-house vineyard brewery farmers-market orchard beekeeping "
+    "medicine nursing dentist surgery pediatrics psychology therapy nutrition public-health ambulance firefighters "
+    "engineering mechanics electronics robotics software programming databases networks statistics economics finance "
+    "accounting insurance logistics transport airline airport harbour shipping aviation satellite telescope planetarium "
+    "archive manuscripts dictionary encyclopedia grammar translation linguistics folklore mythology archaeology "
+    "anthropology sociology theology law-review human-rights charity volunteers refugees childcare playground "
+    "newspaper magazine broadcasting documentary photography design typography illustration fashion textiles jewellery "
+    "energy solar windpower hydrology climate oceanography marine-biology zoology veterinary horses dogs cats aquarium"
 ).split()
 
 
@@ -117,12 +132,17 @@ def train(labelled: DataFrame, penalty: float = 0.001, steps: int = 50, **featur
     """
     rows = with_parts(labelled.where("url is not null and label is not null").select("url", "label"))
     rows = with_features(rows, **features).select("_features", F.col("label").cast("double").alias("label"))
-    if not rows.take(1):
+    sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    if not sizes:
         return None
+    # both labels weigh the same, however many rows they have
+    weight = F.lit(0.0)
+    for label, count in sizes.items():
+        weight = F.when(F.col("label") == label, sum(sizes.values()) / (len(sizes) * count)).otherwise(weight)
     learner = LogisticRegression(
-        featuresCol="_features", labelCol="label", regParam=penalty, maxIter=steps, standardization=False
+        featuresCol="_features", labelCol="label", weightCol="weight", regParam=penalty, maxIter=steps, standardization=False
     )
-    return learner.fit(rows)
+    return learner.fit(rows.withColumn("weight", weight))
 
 
 def classify(
