@@ -6,10 +6,12 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,11 +38,14 @@ class Scratch:
     """Written tables that cut the lineage of one run, so that lost executors cost no recomputation.
 
     Each run has a folder of its own in the shared folder. ``drop`` removes a
-    table that is no longer read; the rest goes when the driver's Python ends.
+    table that is no longer read; the rest goes when the driver's Python ends,
+    also where the session was stopped before.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        # both outlive the session
+        self.jvm, self.settings = spark._jvm, spark._jsc.hadoopConfiguration()
         self.folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._end)
 
@@ -53,12 +58,11 @@ class Scratch:
         self._delete(f"{self.folder}/{name}")
 
     def _delete(self, path: str) -> None:
-        jvm, context = self.spark._jvm, self.spark._jsc
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context.hadoopConfiguration()).delete(target, True)
+        target = self.jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.settings).delete(target, True)
 
     def _end(self) -> None:
-        if self.spark.sparkContext._jsc is not None and not self.spark.sparkContext._jsc.sc().isStopped():
+        with suppress(Py4JError, OSError):  # the Java side may be gone
             self._delete(self.folder)
 
 
