@@ -259,7 +259,7 @@ def remove_repeats(docs: DataFrame, length: int = 13, share: float = SHARE) -> D
     each other. Extra columns are ignored; an empty table gives no rows.
     """
     found = repeated(docs, length, share).groupBy("doc_id", "body").agg(
-        F.collect_list(F.struct("pos", "n")).alias("windows")
+        F.collect_set(F.struct("pos", "n")).alias("windows")  # a set, as repeated rows have the same windows
     ).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "windows")
     rows = _rows(docs)
     joined = rows.join(found, (rows.doc_id == found._id) & (rows.body == found._body), "left")

@@ -324,7 +324,7 @@ def cut_repeats(
         by_words = repeated(docs, words, max(1, words // 3), large, words=True)
         windows = windows.unionByName(by_words.withColumn("w", F.lit(True)))
     found = windows.groupBy("doc_id", "body").agg(
-        F.collect_list(F.struct("pos", "n", "w")).alias("_windows")
+        F.collect_set(F.struct("pos", "n", "w")).alias("_windows")
     ).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "_windows")
     own = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_own"),
@@ -372,7 +372,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, q: int = 128, large: int
     each other.
     """
     found = repeated(docs, length, q, large).groupBy("doc_id", "body").agg(
-        F.collect_list(F.struct("pos", "n")).alias("windows")
+        F.collect_set(F.struct("pos", "n")).alias("windows")  # a set, as repeated rows have the same windows
     ).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "windows")
     docs = with_body(docs)
     joined = docs.join(found, docs.doc_id.eqNullSafe(found._id) & (docs.body == found._body), "left")
