@@ -99,6 +99,19 @@ def test_suffix_dedup_on_planted_passages(docs, large):
     )
 
 
+def test_suffix_dedup_of_very_long_texts(docs):
+    """One word without end, a short period, and two long texts that share their middle."""
+    rng = random.Random(3)
+    first, middle, last = (words(rng, 60_000, 10**6) for _ in range(3))
+    rows = [(1, "w" * 200_000), (2, "ab" * 100_000), (3, first + middle), (4, middle + last), (5, "x" * 399 + "é")]
+    found = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs(rows)).collect()}
+    sizes = {i: len(t.encode()) for i, t in rows}
+    gone = {1: sizes[1], 2: sizes[2], 3: len(middle), 4: len(middle), 5: 0}
+    assert {i: (r.n_bytes, r.n_removed) for i, r in found.items()} == {i: (sizes[i], gone[i]) for i in sizes}
+    assert bytes(found[3].kept) == first.encode() and bytes(found[4].kept) == last.encode()
+    assert [tuple(s) for s in found[4].spans] == [(0, len(middle))]
+
+
 def test_empty_tables(docs):
     empty = docs([(1, "x")]).where("false")
     assert suffix_dedup.remove_repeats(empty).count() == 0

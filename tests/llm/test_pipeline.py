@@ -92,7 +92,9 @@ def test_stages_take_odd_rows(spark, stage):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, body string, spans int"
     long = "wörd und text " * 60
     rows = [(1, None, None, None, None, "x", 1), (None, "", "de", "s", 0, None, None), (2, long, "de", "s", len(long), "x", 1),
-            (2, long, "de", "s", len(long), "x", 1), (None, long, "de", "s", None, "x", 1)]
+            (2, long, "de", "s", len(long), "x", 1), (None, long, "de", "s", None, "x", 1),
+            (3, "w" * 300_000, None, None, 300_000, "x", 1), (4, long * 500, None, None, None, "x", 1),
+            (5, " ".join(f"w{i}é" for i in range(100_000)), None, None, None, "x", 1)]
     docs = spark.createDataFrame(rows, schema)
     stage(spark, docs, MEDIUM).collect()
     assert stage(spark, docs.where("false"), MEDIUM).count() == 0
