@@ -40,12 +40,12 @@ class Index:
     1.4 of them miss about one in twelve of the vectors at the radius, and fewer within.
     """
 
-    def __init__(self, units: np.ndarray, projections: int = 192, slack: float = 1.4, seed: int = 7):
+    def __init__(self, units: np.ndarray, projections: int = 128, slack: float = 1.4, seed: int = 7):
         self.units = units
         n, length = units.shape
         self.directions = directions(length, projections, seed)
         values = (units @ self.directions).T
-        order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
+        order = np.argsort(values, axis=1, kind="stable")
         # one array for all projections: each has a range of its own
         self.reach = 2 * np.sqrt(length) + 1
         self.shift = np.arange(projections) * 4 * self.reach
@@ -56,15 +56,14 @@ class Index:
 
     def _added(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """How often each vector stands in the ranges of the sorted arrays."""
-        count = end - begin
-        first = np.cumsum(count) - count
-        at = np.repeat(begin - first, count) + np.arange(count.sum())
-        return np.bincount(self.order[at], minlength=len(self.units))
+        parts = [self.order[a:b] for a, b in zip(begin.tolist(), end.tolist()) if a < b]
+        found = np.concatenate(parts) if parts else self.order[:0]
+        return np.bincount(found, minlength=len(self.units))
 
     def candidates(
-        self, query: np.ndarray, k: int, ids: np.ndarray, own: int, start: float = 0.5, growth: float = 1.15
-    ) -> np.ndarray:
-        """Rows that were verified until ``k`` distinct ids other than ``own`` lay within the radius."""
+        self, query: np.ndarray, k: int, ids: np.ndarray, own: int, start: float = 0.25, growth: float = 1.25
+    ) -> tuple[np.ndarray, float]:
+        """Rows that were verified until ``k`` distinct ids other than ``own`` lay within the radius, and how far they lay."""
         n = len(self.units)
         centre = query @ self.directions
         low = high = np.searchsorted(self.values, centre + self.shift)
@@ -88,7 +87,7 @@ class Index:
             best = np.sort(distance[nearest[first]])
             kth = best[k - 1] if len(best) >= k else np.inf
             if kth <= radius or verified.all() or radius > 2 * self.reach:
-                return np.flatnonzero(verified)
+                return np.flatnonzero(verified), min(radius, kth)
             radius = min(radius * growth, max(kth, radius * 1.0001))
 
 
@@ -107,9 +106,13 @@ def _search(k: int, options: dict):
             asked, wanted = _matrix(queries)
             (rows, norms), (wanted, lengths) = _units(rows), _units(wanted)
             index = Index(rows / norms[:, None], **options)
-            for q in range(len(asked)):
-                # one more than k, so that no block looks less far than one with the query's own row
-                found = index.candidates(wanted[q] / lengths[q], k + 1, ids, asked[q])
+            radii: list[float] = []
+            for q in np.argsort(asked, kind="stable"):
+                # Windows start a little below the radii that the last queries needed. One more than k, so
+                # that no block looks less far than one with the query's own row.
+                start = 0.8 * float(np.median(radii[-32:])) if radii else 0.25
+                found, radius = index.candidates(wanted[q] / lengths[q], k + 1, ids, asked[q], start)
+                radii.append(radius)
                 found = found[ids[found] != asked[q]]
                 score = (rows[found] * wanted[q]).sum(1) / (norms[found] * lengths[q])
                 best = np.lexsort((ids[found], -score))

@@ -170,7 +170,7 @@ def test_few_vectors_are_verified(spark):
     index, ids = neighbours.Index(units), np.arange(len(units))
     shares, hits = [], []
     for q in range(0, len(units), 50):
-        found = index.candidates(units[q], 6, ids, q)
+        found, _ = index.candidates(units[q], 6, ids, q)
         shares.append(len(found) / len(units))
         score = units @ units[q]
         score[q] = -2
