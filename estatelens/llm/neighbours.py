@@ -15,6 +15,8 @@ block are merged.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -91,6 +93,19 @@ class Index:
             radius = min(radius * growth, max(kth, radius * 1.0001))
 
 
+    def searched(self, queries: np.ndarray, owns: np.ndarray, k: int, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each query's number and its candidates, by the queries' own ids.
+
+        Windows start a little below the distances that the last queries needed.
+        """
+        needed: list[float] = []
+        for q in np.argsort(owns, kind="stable").tolist():
+            start = 0.8 * float(np.median(needed[-32:])) if needed else 0.25
+            found, distance = self.candidates(queries[q], k, ids, owns[q], max(start, 0.01))
+            needed.append(distance)
+            yield q, found
+
+
 def _units(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows, scaled by powers of two so that their squares neither vanish nor overflow, and their lengths."""
     _, exponent = np.frexp(np.abs(rows).max(1))
@@ -106,13 +121,8 @@ def _search(k: int, options: dict):
             asked, wanted = _matrix(queries)
             (rows, norms), (wanted, lengths) = _units(rows), _units(wanted)
             index = Index(rows / norms[:, None], **options)
-            radii: list[float] = []
-            for q in np.argsort(asked, kind="stable"):
-                # Windows start a little below the radii that the last queries needed. One more than k, so
-                # that no block looks less far than one with the query's own row.
-                start = 0.8 * float(np.median(radii[-32:])) if radii else 0.25
-                found, radius = index.candidates(wanted[q] / lengths[q], k + 1, ids, asked[q], start)
-                radii.append(radius)
+            # one more than k, so that no block looks less far than one with the query's own row
+            for q, found in index.searched(wanted / lengths[:, None], asked, k + 1, ids):
                 found = found[ids[found] != asked[q]]
                 score = (rows[found] * wanted[q]).sum(1) / (norms[found] * lengths[q])
                 best = np.lexsort((ids[found], -score))
