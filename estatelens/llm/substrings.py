@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -138,29 +139,22 @@ def _shared(runs: DataFrame) -> DataFrame:
     """Runs whose gram stands in several documents, and all runs with a frequent gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rare() -> Iterator[pa.RecordBatch]:
-            for batch in batches:  # sorted: frequent grams are negative and come first
-                cut = int(np.searchsorted(batch.column("gram").to_numpy(), 0))
-                if cut:
-                    passed.append(batch.slice(0, cut))
-                if cut < batch.num_rows:
-                    yield batch.slice(cut)
-                elif passed:
-                    yield batch.slice(0, 0)
-
-        passed: list[pa.RecordBatch] = []
-        for table in whole_groups(rare(), ["gram"], 1 << 16):
-            yield from passed
-            passed.clear()
+        for batch in batches:  # sorted: frequent grams are negative and come first
+            cut = int(np.searchsorted(batch.column("gram").to_numpy(), 0))
+            if cut:
+                yield batch.slice(0, cut)
+            if cut < batch.num_rows:
+                rare = chain([batch.slice(cut)], batches)
+                break
+        else:
+            return
+        for table in whole_groups(rare, ["gram"], 1 << 16):
             gram, doc = table.column("gram").to_numpy(), table.column("doc_id").to_numpy()
-            if not len(gram):
-                continue
             new = np.append(True, gram[1:] != gram[:-1])
             starts = np.flatnonzero(new)
             several = np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)
             keep = table.filter(pa.array(several[np.cumsum(new) - 1]))
             yield from keep.combine_chunks().to_batches()
-        yield from passed
 
     evenly = F.when(F.col("gram") < 0, F.xxhash64("doc_id", "place")).otherwise(F.col("gram"))
     return runs.repartition(evenly).sortWithinPartitions("gram").mapInArrow(run, runs.schema)
