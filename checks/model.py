@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatelens.constants import COMMERCIAL, NAME_SUFFIX, OTHER, RESIDENTIAL
+from estatelens.operators import tasks_for
 from estatelens.plans import etl, land_months, views
 
 # Settings that fit the values found in the driver's tables.
@@ -57,6 +58,11 @@ class Model:
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
 
+    @cached_property
+    def line_tasks(self) -> int:
+        """Partitions for line items; the files' footers tell how many there are."""
+        return tasks_for(self.read("lineitem").count())
+
     # --- shared joins -------------------------------------------------------
     @cached_property
     def orders_region(self) -> DataFrame:
@@ -241,9 +247,15 @@ class Model:
 
     @cached_property
     def land_raw(self) -> DataFrame:
-        price = _money("l_extendedprice")
-        per_order = self.read("lineitem").groupBy("l_orderkey").agg(
-            F.max(F.col("l_shipdate").cast("date")).alias("last_ship"),
+        price = F.col("price")
+        # Dealt by order first: there is little to combine before the shuffle, and the rows are
+        # narrower than partial sums, which would fill each task's memory with open orders.
+        lines = self.read("lineitem").select(
+            "l_orderkey", F.col("l_shipdate").cast("date").alias("ship_date"), "l_quantity",
+            _money("l_extendedprice").alias("price"), "l_linestatus",
+        )
+        per_order = lines.repartition(self.line_tasks, "l_orderkey").groupBy("l_orderkey").agg(
+            F.max("ship_date").alias("last_ship"),
             F.sum("l_quantity").alias("quantity"),
             F.count(F.lit(1)).alias("n_lines"),
             F.sum(price).cast("double").alias("gfa"),

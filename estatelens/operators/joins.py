@@ -47,6 +47,20 @@ def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Rows of some hundred bytes that a task sorts or aggregates in 100 to 200 MB.
+TASK_ROWS = 250_000
+
+
+def tasks_for(rows: int) -> int:
+    """Partitions with ``TASK_ROWS`` rows each, for tables whose rows were counted.
+
+    Partitions that Spark sizes by their shuffled bytes hold as many narrow rows as
+    compress to that size, or fewer by the number of cores; what a task needs for them
+    once they are decoded and widened grows with the table. A number of rows bounds it.
+    """
+    return max(1, -(-rows // TASK_ROWS))
+
+
 def plain_keys(*names: str) -> dict[str, Column]:
     """Text key columns as columns without NULL, equal where the keys are.
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.functions import as_date
+from estatelens.operators import tasks_for
 from estatelens.plans import views
 from estatelens.schemas import LAND_DATES, PARCELS
 from estatelens.sources import WorkingTables, conform, normalise_names, write_table
@@ -30,11 +31,15 @@ def clean_parcels(land: DataFrame) -> DataFrame:
 
 
 def store(land: DataFrame, root: str) -> dict[str, DataFrame]:
-    """Write both layouts under ``root``, replacing older ones; ``land`` is read once."""
+    """Write both layouts under ``root``, replacing older ones; ``land`` is read once.
+
+    Its rows, counted in the working table, say into how many tasks they are dealt for sorting.
+    """
     with WorkingTables(land.sparkSession, f"{root}/_work") as work:
         rows = work.keep(clean_parcels(land), "parcels")
+        tasks = tasks_for(rows.count())
         return {
-            table: write_table(rows, root, table, {folder: F.year(day)}, [day])
+            table: write_table(rows, root, table, {folder: F.year(day)}, [day], tasks)
             for table, (folder, day) in LAYOUTS.items()
         }
 

@@ -44,6 +44,7 @@ def write_table(
     table: str,
     partition_by: Mapping[str, Column] | None = None,
     sort_by: Sequence[str] = (),
+    tasks: int | None = None,
 ) -> DataFrame:
     """Replace ``<root>/<table>`` and return it as read back.
 
@@ -52,6 +53,11 @@ def write_table(
     a directory with most of the rows is written by many tasks. ``sort_by``
     sorts inside each file, so that filters on those columns skip row groups.
 
+    ``tasks`` deals the rows into that many ranges of both instead, by a sample of ``df``,
+    which is read twice for it. Whoever has counted the rows bounds by it what a task sorts
+    in memory, whatever the session's partition sizes are. Rows that are equal in the order
+    may lie in several ranges.
+
     The new version is written beside the old one, and readers see it when it is
     complete: whenever a run dies, the table is there, old or new (see ``versions``).
     """
@@ -60,7 +66,12 @@ def write_table(
     path, version = f"{root}/{table}", new_version()
     folders = list(partition_by or {})
     if folders:
-        out = out.withColumns(dict(partition_by)).hint("rebalance", *folders)
+        out = out.withColumns(dict(partition_by))
+    if tasks:
+        row = F.monotonically_increasing_id()
+        out = out.withColumn("__row", row).repartitionByRange(tasks, *folders, *sort_by, "__row").drop("__row")
+    elif folders:
+        out = out.hint("rebalance", *folders)
     if folders or sort_by:
         out = out.sortWithinPartitions(*folders, *sort_by)
     before = pointed(spark, path)

@@ -134,3 +134,24 @@ def test_rows_without_finite_figures(stored):
     """NaN and infinities are missing: no price above zero, and an area of zero."""
     odd = stored["land"].where("parcel_no = 'm'").select("deal_price", "known_area", "site_area")
     assert rows(odd) == [(None, None, 0.0)]
+
+
+@pytest.mark.parametrize("days", [1, 40])
+def test_layouts_are_sorted_in_tasks_with_a_bounded_number_of_rows(spark, tmp_path, monkeypatch, conf, days):
+    """Whatever size of partitions the session asks for, and also where all parcels have one day."""
+    from estatelens.operators import joins
+
+    monkeypatch.setattr(joins, "TASK_ROWS", 100)
+    conf(spark__sql__adaptive__advisoryPartitionSizeInBytes="1g")
+    made = [parcel(i, f"2018-{1 + i % days // 28:02d}-{1 + i % days % 28:02d}", "2018-05-01", 1.5) for i in range(1000)]
+    names = schemas.LAND.names
+    rows_in = spark.createDataFrame([tuple(p.get(n) for n in names) for p in made], schemas.LAND)
+    for table, written in parcels.store(rows_in, str(tmp_path)).items():
+        assert sorted(r.parcel_no for r in written.collect()) == sorted(str(i) for i in range(1000))
+        day = parcels.LAYOUTS[table][1]
+        counts = written.groupBy("_metadata.file_path").agg({"*": "count"}).collect()
+        assert len(counts) >= 8 and max(r[1] for r in counts) <= 300, table
+        paths = {r.file_path for r in counts}
+        for path in paths:
+            found = [r[0] for r in spark.read.parquet(path).select(day).collect()]
+            assert found == sorted(found)
