@@ -100,27 +100,35 @@ class Model:
 
     @cached_property
     def supply_raw(self) -> DataFrame:
-        quantity = F.col("l_quantity").cast("int")
-        lineitem, part, orders = self.read("lineitem"), self.read("part"), self.orders_region
+        quantity, price = F.col("quantity"), F.col("price")
+        part = self.read("part")
+        orders = self.orders_region.select("o_orderkey", "n_name", "o_date")
+        lineitem = self.read("lineitem").select(
+            "l_orderkey", "l_partkey", F.col("l_quantity").cast("int").alias("quantity"),
+            _money("l_extendedprice").alias("price"), "l_linestatus", "l_returnflag",
+        )
         lines = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
-        rows = lines.groupBy("l_partkey", "n_name", "o_date").agg(
-            F.sum(_money("l_extendedprice")).cast("decimal(10,2)").alias("area"),
+        # Dealt by part: the groups, of one or two lines each, form where they are summed up,
+        # and all of a part lie together, so that the last one can be found before a shuffle.
+        dealt = lines.drop("l_orderkey", "o_orderkey").repartition(self.line_tasks, "l_partkey")
+        rows = dealt.groupBy("l_partkey", "n_name", "o_date").agg(
+            F.sum(price).cast("decimal(10,2)").alias("area"),
             F.sum(quantity).cast("int").alias("total_units"),
             F.sum(F.when(F.col("l_linestatus") == "O", quantity).otherwise(0))
             .cast("int").alias("for_sale"),
             F.sum(F.when(F.col("l_returnflag") == "R", quantity).otherwise(0))
             .cast("int").alias("non_sale"),
         )
-        price = F.col("p_retailprice").cast("decimal(10,2)")
+        retail = F.col("p_retailprice").cast("decimal(10,2)")
         return rows.join(part, rows.l_partkey == part.p_partkey).select(
             _text("l_partkey").alias("permit"),
             F.col("p_name").alias("record_name"),
             F.col("n_name").alias("region"),
             F.col("o_date").alias("open_date"),
             "area", "total_units", "for_sale", "non_sale",
-            price.alias("res_price"),
+            retail.alias("res_price"),
             F.when(F.col("p_brand") == "Brand#2", F.lit(0).cast("decimal(10,2)"))
-            .otherwise(price).alias("com_price"),
+            .otherwise(retail).alias("com_price"),
         )
 
     @cached_property
@@ -143,9 +151,13 @@ class Model:
 
     @cached_property
     def project_info(self) -> DataFrame:
-        """One row per part and supplier that occur together."""
+        """One row per part and supplier that occur together.
+
+        Pairs are dealt by part, into tasks with a bounded number of rows: they get wide when
+        the part is joined, and the last one of a part is found among them without a shuffle.
+        """
         lineitem, part = self.read("lineitem"), self.read("part")
-        pairs = lineitem.select("l_partkey", "l_suppkey").distinct()
+        pairs = lineitem.select("l_partkey", "l_suppkey").repartition(self.line_tasks, "l_partkey").distinct()
         return pairs.join(part, pairs.l_partkey == part.p_partkey).select(
             _text("l_partkey").alias("permit"),
             F.col("p_name").alias("record_name"),

@@ -192,13 +192,16 @@ def with_project_info(
     joining all of them and keeping the last. Joining on the grouped key lets
     the join use the partitioning of the grouping, and tells Spark that the
     info is unique, so that it drops the join for readers who want no info.
+
+    The columns that order the rows hold all of the info, so the last row is the greatest one
+    and is carried once.
     """
     keys = plain_keys(*PERMIT)
     order = dict.fromkeys([*rules.last_by(project_info, rules.info_order), *INFO_COLUMNS])
-    last = F.max_by(F.struct(*INFO_COLUMNS), F.struct(*order)).alias("__info")
+    last = F.max(F.struct(*order)).alias("__info")
     info = project_info.groupBy(*(k.alias(name) for name, k in keys.items())).agg(last)
     return supply.withColumns(keys).join(info, list(keys), "left").select(
-        *(supply[c] for c in supply.columns), "__info.*"
+        *(supply[c] for c in supply.columns), *(f"__info.{c}" for c in INFO_COLUMNS)
     )
 
 

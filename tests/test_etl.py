@@ -380,3 +380,10 @@ def test_the_row_that_was_loaded_last_counts(spark, tmp_path):
     # without the load order the declared columns decide, as before
     plain = etl.latest_supply(read_parquet(spark, str(tmp_path), "supply_raw"))
     assert sorted((r.permit, r.total_units) for r in plain.collect()) == [("p", 9), ("q", 9)]
+
+
+def test_last_info_row_is_carried_once(data):
+    """Each task sorts its info rows to find the last ones; its result holds the info once."""
+    _, inputs = data
+    plan = planned(etl.with_project_info(inputs.supply_raw, inputs.project_info))
+    assert "partial_max(struct(delivery" in plan and "max_by" not in plan

@@ -42,7 +42,7 @@ def dealt(df, key):
     return {int(m.group(1)) for m in found}
 
 
-@pytest.mark.parametrize("table, key", [("land_raw", "l_orderkey")])
+@pytest.mark.parametrize("table, key", [("project_info", "l_partkey"), ("supply_raw", "l_partkey"), ("land_raw", "l_orderkey")])
 def test_tasks_grow_with_the_line_items(small, table, key):
     """However well narrow rows compress, a task holds a bounded number of them."""
     assert small.line_tasks == 10
