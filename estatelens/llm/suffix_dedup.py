@@ -308,6 +308,32 @@ def _whole_characters(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> t
     return begin, np.maximum(begin, first[np.searchsorted(first, end, "right") - 1])
 
 
+def _windows_of_texts(docs: DataFrame, length: int, q: int, large: int, words: int | None) -> DataFrame:
+    """(_id, _body, windows): all repeated windows of a text, ``w`` tells those of ``words`` words from those of bytes."""
+    windows = repeated(docs, length, q, large).withColumn("w", F.lit(False))
+    if words:
+        by_words = repeated(docs, words, max(1, words // 3), large, words=True)
+        windows = windows.unionByName(by_words.withColumn("w", F.lit(True)))
+    return windows.groupBy("doc_id", "body").agg(
+        F.collect_set(F.struct("pos", "n", "w")).alias("windows")  # a set, as repeated rows have the same windows
+    ).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "windows")
+
+
+def _without(
+    text: np.ndarray, pos: np.ndarray, n: np.ndarray, in_words: np.ndarray, length: int, words: int | None
+) -> str:
+    """The text without the whole characters that windows of bytes cover, and without those of words."""
+    stay = np.ones(len(text), bool)
+    if not in_words.all():
+        for a, b in zip(*_whole_characters(text, *spans_of(pos[~in_words], n[~in_words], length))):
+            stay[a:b] = False
+    if in_words.any():
+        begin, end = word_bounds(text)
+        for a, b in zip(*spans_of(pos[in_words], n[in_words], words)):
+            stay[begin[a] : end[b - 1]] = False
+    return text[stay].tobytes().decode()
+
+
 def cut_repeats(
     docs: DataFrame, length: int = 400, q: int = 128, large: int = 1024, words: int | None = None
 ) -> DataFrame:
@@ -317,13 +343,7 @@ def cut_repeats(
     so many words that stand elsewhere too go as well, however short they are. A
     text of which nothing is left stays as an empty one.
     """
-    windows = repeated(docs, length, q, large).withColumn("w", F.lit(False))
-    if words:
-        by_words = repeated(docs, words, max(1, words // 3), large, words=True)
-        windows = windows.unionByName(by_words.withColumn("w", F.lit(True)))
-    found = windows.groupBy("doc_id", "body").agg(
-        F.collect_set(F.struct("pos", "n", "w")).alias("_windows")
-    ).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "_windows")
+    found = _windows_of_texts(docs, length, q, large, words).withColumnRenamed("windows", "_windows")
     own = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_own"),
         "text", F.struct(*docs.columns).alias("_row"),
@@ -338,17 +358,9 @@ def cut_repeats(
             data, at = texts_of(batch.column("text"))
             texts = batch.column("text").to_pylist()
             for i in np.flatnonzero(has):
-                text, part = data[at[i] : at[i + 1]], slice(place[i], place[i + 1])
-                stay = np.ones(len(text), bool)
-                w, p, c = in_words[part].astype(bool), pos[part], n[part]
-                if not w.all():
-                    for a, b in zip(*_whole_characters(text, *spans_of(p[~w], c[~w], length))):
-                        stay[a:b] = False
-                if w.any():
-                    begin, end = word_bounds(text)
-                    for a, b in zip(*spans_of(p[w], c[w], words)):
-                        stay[begin[a] : end[b - 1]] = False
-                texts[i] = text[stay].tobytes().decode()
+                part = slice(place[i], place[i + 1])
+                w = in_words[part].astype(bool)
+                texts[i] = _without(data[at[i] : at[i + 1]], pos[part], n[part], w, length, words)
             row = batch.column("_row")
             out = dict(zip((f.name for f in row.type), row.flatten()))
             out["text"] = pa.array(texts, out["text"].type)
@@ -360,18 +372,19 @@ def cut_repeats(
     return joined.select("text", "_windows", "_row").mapInArrow(run, docs.schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, q: int = 128, large: int = 1024) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = 400, q: int = 128, large: int = 1024, words: int | None = None
+) -> DataFrame:
     """Every row of ``docs`` with the bytes that stay.
 
     Columns: doc_id, n_bytes, n_removed, n_spans, kept (binary), spans (array of
     (start, end) in bytes). A byte goes if a string of ``length`` bytes that
     covers it starts anywhere else too. A null or short text has nothing to
     remove and keeps its bytes; extra columns are ignored; repeated rows repeat
-    each other.
+    each other. With ``words``, a column ``cut`` (string) has the text that
+    cut_repeats leaves; the other columns stay those of bytes.
     """
-    found = repeated(docs, length, q, large).groupBy("doc_id", "body").agg(
-        F.collect_set(F.struct("pos", "n")).alias("windows")  # a set, as repeated rows have the same windows
-    ).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "windows")
+    found = _windows_of_texts(docs, length, q, large, words)
     docs = with_body(docs)
     joined = docs.join(found, docs.doc_id.eqNullSafe(found._id) & (docs.body == found._body), "left")
 
@@ -380,32 +393,36 @@ def remove_repeats(docs: DataFrame, length: int = 400, q: int = 128, large: int
             data, at = texts_of(batch.column("text"))
             windows = batch.column("windows")
             has, place = windows.is_valid().to_numpy(False), windows.offsets.to_numpy()
-            pos, n = (x.to_numpy() for x in windows.values.flatten())
-            removed, kept, spans = [], [], []
+            pos, n, in_words = (x.to_numpy(False) for x in windows.values.flatten())
+            removed, kept, spans, cut = [], [], [], []
             for i in range(batch.num_rows):
                 text = data[at[i] : at[i + 1]]
                 begin = end = np.empty(0, np.int64)
-                if has[i]:
-                    part = slice(place[i], place[i + 1])
-                    begin, end = spans_of(pos[part], n[part], length)
+                part = slice(place[i], place[i + 1] if has[i] else place[i])
+                w = in_words[part].astype(bool)
+                if not w.all():
+                    begin, end = spans_of(pos[part][~w], n[part][~w], length)
+                if words:
+                    cut.append(_without(text, pos[part], n[part], w, length, words))
                 stay = np.ones(len(text), bool)
                 for a, b in zip(begin, end):
                     stay[a:b] = False
                 kept.append(text[stay].tobytes() if len(begin) else text.tobytes())
                 removed.append(len(text) - len(kept[-1]))
                 spans.append([{"start": int(a), "end": int(b)} for a, b in zip(begin, end)])
-            yield pa.record_batch({
+            out = {
                 "doc_id": batch.column("doc_id"), "n_bytes": pa.array(np.diff(at)),
                 "n_removed": pa.array(removed, pa.int64()),
                 "n_spans": pa.array(list(map(len, spans)), pa.int64()),
                 "kept": pa.array(kept, pa.binary()),
                 "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-            })
+            }
+            yield pa.record_batch(out | {"cut": pa.array(cut, pa.string())} if words else out)
 
     return joined.select("doc_id", "text", "windows").mapInArrow(
         run,
         "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, "
-        "spans array<struct<start: bigint, end: bigint>>",
+        "spans array<struct<start: bigint, end: bigint>>" + (", cut string" if words else ""),
     )
 
 

@@ -7,7 +7,7 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 
-from estatelens.llm import suffix_dedup
+from estatelens.llm import queries, suffix_dedup
 from tests.llm.support import MEDIUM, docs, words  # noqa: F401  (docs is a fixture)
 
 
@@ -42,3 +42,24 @@ def test_stage_cuts_short_passages(spark, docs, large):
     expected = plain_cut(texts)
     assert expected[0] == texts[0] and expected[6] != texts[6]
     assert {r.doc_id: r.text for r in stage.collect()} == dict(enumerate(expected))
+
+
+def test_suffix_query_returns_texts_without_short_passages(spark, docs, tmp_path):
+    """Passages of over 50 words and under 400 bytes stay in the bytes of op6, and go from its last column."""
+    rng = random.Random(9)
+    short, fifty, long = words(rng, 51, 90), words(rng, 50, 90), words(rng, 90)
+    assert len(short.encode()) < 400 < len(long.encode())
+    own = [words(rng, 60, 10**6) for _ in range(8)]
+    texts = [f"{own[0]} é\n{short} {own[1]}", f"{short}\t{own[2]}", f"{own[3]} {fifty}", f"{fifty} {own[4]}",
+             f"{own[5]} x{long}", f"{long}y {own[6]}", own[7], ""]
+    rows = [*enumerate(texts[:-1]), (7, None)]
+    docs(rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.QUERIES["op6_suffix_array_dedup"](spark, str(tmp_path)).collect()}
+    assert [i for i, r in sorted(found.items()) if r.n_removed] == [4, 5]
+    assert all(found[i].text == texts[i] for i in (0, 1, 2, 3, 6, 7))
+    last = {i: r.text_without_passages for i, r in found.items()}
+    stage = suffix_dedup.cut_repeats(docs(rows), words=51)
+    assert last == {r.doc_id: r.text or "" for r in stage.collect()}
+    assert {i: last[i] for i in (0, 1, 2, 3, 6, 7)} == {
+        0: f"{own[0]} é\n {own[1]}", 1: f"\t{own[2]}", 2: texts[2], 3: texts[3], 6: own[7], 7: ""}
+    assert (last[4], last[5]) == (f"{own[5]} x", f"y {own[6]}")
