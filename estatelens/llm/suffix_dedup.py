@@ -18,9 +18,15 @@ equal windows share one:
    windows are sorted by names of ``length`` bytes, which are doubled from
    those of the q-grams. Equal neighbours repeat.
 
-A bucket with more than ``large`` classes is not brought together in one task:
-its windows are counted by name with partial aggregates. Names have 64 bits; the
-q-gram's name and the window's name have to agree, both taken from different mixes.
+A bucket with more than ``large`` classes is not brought together in one task.
+Its runs are cut into parts of up to 16 windows at fixed places of the q-gram in
+the window. The bytes that all windows of a part share, its core, make a finer
+bucket, and parts are refined as runs are: those alone in their bucket end, those
+whose whole text repeats are settled, and one of each class of the rest is cut
+again, at last into single windows. A window in the middle of a passage or outside
+it thus costs a sixteenth of a row, and only the ends of passages cost more.
+Names have 64 bits; the q-gram's name and the window's name have to agree, both
+taken from different mixes.
 
 The same works on words instead of bytes: a text is then the sequence of the names
 of its words, and ``length`` and ``q`` count words.
@@ -42,6 +48,9 @@ _BYTE, _GRAM, _WINDOW, _TEXT = (
     0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 )
 _RUN = "doc_id bigint, body bigint, pos bigint, n bigint, gram bigint, whole bigint"
+_PART = (
+    "gram bigint, core bigint, whole bigint, doc_id bigint, body bigint, at bigint, pos bigint, n bigint, single boolean"
+)
 
 
 def word_bounds(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,15 +183,24 @@ def _texts_of_runs(docs: DataFrame, runs: DataFrame, length: int, words: bool) -
     )
 
 
-def _window_names(column: pa.Array, length: int, words: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Names of all windows of the texts, one text after the other, and the text of each."""
+def _joined(column: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of all texts and where each text begins and ends among them."""
     column = column.cast(pa.large_binary())
     at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]]
     at = at - at[0]
-    if words:
-        data, at = data.view(np.uint64), at // 8
-    of_all = names(gram_names(data, 100), 100, length, _WINDOW) if length > 100 else gram_names(data, length)
+    return (data.view(np.uint64), at // 8) if words else (data, at)
+
+
+def _names_of(data: np.ndarray, length: int) -> np.ndarray:
+    """Names of all ``length`` consecutive elements, other ones than those of q-grams if there are over 100."""
+    return names(gram_names(data, 100), 100, length, _WINDOW) if length > 100 else gram_names(data, length)
+
+
+def _window_names(column: pa.Array, length: int, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Names of all windows of the texts, one text after the other, and the text of each."""
+    data, at = _joined(column, words)
+    of_all = _names_of(data, length)
     count = np.diff(at) - length + 1
     text = np.repeat(np.arange(len(count)), count)
     first = np.cumsum(count) - count
@@ -224,31 +242,83 @@ def _marks(table: pa.Table, text: np.ndarray, repeats: np.ndarray) -> pa.RecordB
     })
 
 
-def _counted_windows(runs: DataFrame, length: int, words: bool) -> DataFrame:
-    """As _same_windows for buckets of any size: windows are rows, counted by name."""
+def _parts(asked: DataFrame, length: int, q: int, width: int, words: bool) -> DataFrame:
+    """The asked runs of windows, cut where the q-gram's place in the window is a multiple of ``width``.
+
+    ``core`` names the bytes that any windows with the q-gram at these places have in common,
+    ``whole`` the text from the first byte of the first window to the last of the last.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                name, text = _window_names(part.column("bytes"), length, words)
-                first = np.concatenate(([True], text[1:] != text[:-1]))
-                within = np.arange(len(text)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-                row = pa.array(text)
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
+                data, at = _joined(part.column("bytes"), words)
+                grams = gram_names(data, q)
+                gram = part.column("gram").to_numpy().view(np.uint64)
+                hits = np.flatnonzero(grams == np.repeat(gram, np.diff(at))[: len(grams)])
+                runs = part.column("asked")
+                row = np.repeat(np.arange(part.num_rows), np.diff(runs.offsets.to_numpy()))
+                pos, n, single = runs.flatten().flatten()
+                shift = (part.column("at").to_numpy() - at[:-1])[row]
+                # all windows of a run have its q-gram at the same place of the text, the first there
+                place = hits[np.searchsorted(hits, at[:-1])][row]
+                far = place - (pos.to_numpy() - shift)
+                near = far - n.to_numpy() + 1
+                count = far // width - near // width + 1
+                of = np.repeat(np.arange(len(row)), count)
+                least = (far[of] // width - (np.arange(len(of)) - (np.cumsum(count) - count)[of])) * width
+                far, near = np.minimum(far[of], least + width - 1), np.maximum(near[of], least)
+                begin, size = place[of] - far, far - near + 1
+                own = pa.array(row[of])
                 yield pa.record_batch({
-                    "doc_id": part.column("doc_id").take(row), "body": part.column("body").take(row),
-                    "pos": (part.column("pos").to_numpy()[text] + within).astype(np.int64),
-                    "single": part.column("single").take(row),
-                    "gram": part.column("gram").take(row), "name": name.view(np.int64),
+                    "gram": part.column("gram").take(own),
+                    "core": _names_of(data, length - width + 1)[place[of] - least].view(np.int64),
+                    "whole": _range_names(grams, q, begin, begin + size - 1 + length).view(np.int64),
+                    "doc_id": part.column("doc_id").take(own), "body": part.column("body").take(own),
+                    "at": part.column("at").take(own), "pos": (begin + shift[of]).astype(np.int64),
+                    "n": size.astype(np.int64), "single": single.take(pa.array(of)),
                 })
 
-    windows = runs.mapInArrow(
-        run, "doc_id bigint, body bigint, pos bigint, single boolean, gram bigint, name bigint"
-    )
-    twice = windows.groupBy("gram", "name").agg(F.count("*").alias("c")).where("c > 1")
-    return windows.where("single").join(twice, ["gram", "name"]).select(
-        "doc_id", "body", "pos", F.lit(1).cast("bigint").alias("n")
-    )
+    return asked.select("gram", "doc_id", "body", "at", "bytes", "asked").mapInArrow(run, _PART)
+
+
+def _widths(most: int) -> list[int]:
+    """How many windows parts have at most, down to one."""
+    widths = [1]
+    while widths[0] * 32 <= most:
+        widths.insert(0, widths[0] * 16)
+    return widths
+
+
+def _parted_windows(scratch: Scratch, runs: DataFrame, length: int, q: int, words: bool) -> DataFrame:
+    """As _same_windows for buckets of any size: runs are cut into ever smaller parts, which are refined as runs are."""
+    texts = runs.select("gram", "doc_id", "body", F.col("pos").alias("at"), "n", "single", "bytes")
+    asked = texts.withColumn("asked", F.array(F.struct(F.col("at").alias("pos"), "n", "single")))
+    widths, found = _widths(length - q + 1), None
+    for width in widths:
+        parts = scratch.table(_parts(asked, length, q, width, words), f"parts{width}")
+        classes = parts.groupBy("gram", "core", "whole").agg(
+            F.count("*").alias("c"), F.min(F.struct("doc_id", "body", "at", "pos", "n", "single")).alias("one")
+        )
+        classes = scratch.table(classes, f"classes{width}")
+        twice = classes.where("c > 1").select("gram", "core", "whole")
+        settled = parts.where("single").join(twice, ["gram", "core", "whole"]).select("doc_id", "body", "pos", "n")
+        found = settled if found is None else found.unionByName(settled)
+        if width == 1:
+            return found
+        mixed = scratch.table(
+            classes.groupBy("gram", "core").agg(F.count("*").alias("c")).where("c > 1").drop("c"), f"mixed{width}"
+        )
+        ones = classes.join(mixed, ["gram", "core"]).select(
+            "gram", "one.*", ((F.col("c") == 1) & F.col("one.single")).alias("alone")
+        )
+        ones = ones.groupBy("gram", "doc_id", "body", "at").agg(
+            F.collect_list(F.struct("pos", "n", F.col("alone").alias("single"))).alias("asked")
+        ).select(F.col("gram").alias("_gram"), F.col("doc_id").alias("_id"), F.col("body").alias("_body"),
+                 F.col("at").alias("_at"), "asked")
+        asked = texts.join(ones, (texts.gram == ones._gram) & texts.doc_id.eqNullSafe(ones._id)
+                           & (texts.body == ones._body) & (texts["at"] == ones._at))
 
 
 def repeated(docs: DataFrame, length: int = 400, q: int = 128, large: int = 1024, words: bool = False) -> DataFrame:
@@ -282,8 +352,8 @@ def repeated(docs: DataFrame, length: int = 400, q: int = 128, large: int = 1024
     texts = _texts_of_runs(docs, classes.drop("whole"), length, words).join(sizes, "gram")
     texts = scratch.table(texts, "texts")
     same = _same_windows(texts.where("not crowded").drop("crowded"), length, words)
-    counted = _counted_windows(texts.where("crowded").drop("crowded"), length, words)
-    return scratch.table(settled.unionByName(same).unionByName(counted), "windows")
+    parted = _parted_windows(scratch, texts.where("crowded").drop("crowded"), length, q, words)
+    return scratch.table(settled.unionByName(same).unionByName(parted), "windows")
 
 
 def with_body(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 
 from estatelens.llm import queries, suffix_dedup
 from tests.llm.support import MEDIUM, docs, words  # noqa: F401  (docs is a fixture)
+from tests.llm.test_dedup import plain_repeats
 
 
 def plain_cut(texts, n=51):
@@ -63,3 +64,28 @@ def test_suffix_query_returns_texts_without_short_passages(spark, docs, tmp_path
     assert {i: last[i] for i in (0, 1, 2, 3, 6, 7)} == {
         0: f"{own[0]} é\n {own[1]}", 1: f"\t{own[2]}", 2: texts[2], 3: texts[3], 6: own[7], 7: ""}
     assert (last[4], last[5]) == (f"{own[5]} x", f"y {own[6]}")
+
+
+def test_crowded_buckets_make_few_rows(docs):
+    """One passage in many documents: rows for stretches and the ends of a passage, not one for every window."""
+    rng = random.Random(10)
+    passage = words(rng, 110)
+    assert 500 < len(passage) < 600
+    texts = []
+    for i in range(60):
+        before, after = (words(rng, rng.randrange(80, 120), 10**6) for _ in range(2))
+        shared = passage if i % 6 else passage[rng.randrange(200) :]
+        texts.append(f"{before} {shared}{rng.choice(['', ' ', 'é'])}{after}" + (" " + passage[:450] if i % 7 == 0 else ""))
+    rows = [*enumerate(texts), (3, texts[3]), (None, texts[4])]
+    table = docs(rows)
+    for length, q, in_words in ((400, 128, False), (51, 17, True)):
+        few, one_task = (
+            suffix_dedup.repeated(table, length, q, large, words=in_words).collect() for large in (1, 1024)
+        )
+        spread = [{(r.doc_id, r.body, r.pos + k) for r in found for k in range(r.n)} for found in (few, one_task)]
+        assert spread[0] == spread[1]
+        assert in_words or len(few) < len(spread[0]) / 3
+    found = suffix_dedup.remove_repeats(table, large=1, words=51).collect()
+    assert sorted((r.doc_id or -1, r.n_removed, r.n_spans, bytes(r.kept)) for r in found) == sorted(
+        (i or -1, *e) for (i, _), e in zip(rows, plain_repeats([t for _, t in rows], 400))
+    )
